@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,9 @@ from tidemark.llm.common import cut, row_key
 from tidemark.runtime import ship
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
-_BLOCK, _BITS = 1 << 20, np.uint64(21)
+_BLOCK, _BITS = 1 << 18, np.uint64(21)
+#: Documents handled at once, and bytes of suffixes that a task holds before it writes them out as runs.
+_ROWS, _HELD = 256, 16_000_000
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -79,16 +82,18 @@ def _raw(text: str | None) -> bytes:
 
 
 def _find_anchors(length: int, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(a, b, *anchors(r, length, k)) for a, b, t in zip(pdf["k1"], pdf["k2"], pdf["text"], strict=True) if len(r := _raw(t)) >= length]
-            n = [len(x[2]) for x in out]
-            yield pd.DataFrame({
-                "k1": np.repeat(np.array([x[0] for x in out], np.int64), n),
-                "k2": np.repeat(np.array([x[1] for x in out], np.int64), n),
-                "pos": np.concatenate([x[2] for x in out]) if out else np.empty(0, np.int64),
-                "h": (np.concatenate([x[3] for x in out]) if out else np.empty(0, np.uint64)).view(np.int64),
-            })
+    """mapInArrow: documents (k1, k2, text) to their anchors (k1, k2, pos, h)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                k1, k2, texts = (c.slice(at, _ROWS) for c in whole.columns)
+                found = [anchors(_raw(t.as_py()), length, k) for t in texts]
+                n = [len(pos) for pos, _ in found]
+                if sum(n):
+                    keys = [np.repeat(c.to_numpy(), n) for c in (k1, k2)]
+                    pos, h = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, pos, h.view(np.int64))], names=["k1", "k2", "pos", "h"])
 
     return run
 
@@ -226,26 +231,63 @@ def longest_repeats(shared: list[int], lefts: list[bytes], rights: list[int], le
     return best
 
 
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def _places(whole: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, list[tuple[int, int, int]]]]:
+    """Rows (k1, k2, bytes, [(pos, h, n)]) of documents with their anchors."""
+    lists = _column(whole, "__found")
+    ends = lists.offsets.to_numpy()
+    each = [lists.values.field(i).to_numpy() for i in range(3)]
+    k1, k2, texts = (_column(whole, n) for n in ("__k1", "__k2", "__text"))
+    for row in range(whole.num_rows):
+        yield k1[row].as_py(), k2[row].as_py(), _raw(texts[row].as_py()), list(zip(*(x[ends[row] : ends[row + 1]].tolist() for x in each), strict=True))
+
+
+def _digest_contexts(length: int, k: int):
+    """mapInArrow: anchors to a digest of all that a repeated string at the anchor can hold, and to two finer group keys.
+
+    Two anchors of one repeated string share half of ``length`` on the right or on the left.
+    """
+    half = length // 2
+    short = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            rows = []
+            for k1, k2, raw, found in _places(whole):
+                for pos, h, _ in found:
+                    right, left, key = raw[pos : pos + length], raw[max(0, pos - length + k) : pos], (h & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big")
+                    ctx = hashlib.blake2b(key + len(left).to_bytes(4, "big") + left + right, digest_size=16).digest()
+                    groups = [short(b"R" + key + right[:half])] * (len(right) >= half) + [short(b"L" + key + left[-half:])] * (len(left) >= half)
+                    rows.append((k1, k2, pos, ctx, groups, len(left), len(right)))
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k1", "k2", "pos", "ctx", "gs", "l", "r"])
+
+    return run
+
+
 def _write_runs(length: int, k: int, ranges: int, hot_rows: int):
-    """mapInPandas: documents with their anchors to front-coded runs (part, run) of the suffixes at those anchors."""
+    """mapInArrow: documents with their anchors to front-coded runs (part, run) of the suffixes at those anchors."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, dict] = {}
         held = 0
 
-        def out() -> pd.DataFrame:
-            rows = [(p, encode_run(sorted(((s, left, o) for (s, left), o in got.items()), key=lambda r: r[0]))) for p, got in parts.items()]
+        def out() -> pa.RecordBatch:
+            rows = [encode_run(sorted(((s, left, o) for (s, left), o in got.items()), key=lambda r: r[0])) for got in parts.values()]
+            made = pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array(rows, pa.binary())], names=["part", "run"])
             parts.clear()
-            return pd.DataFrame(rows, columns=["part", "run"])
-
-        for pdf in batches:
-            for k1, k2, text, found in zip(pdf["k1"], pdf["k2"], pdf["text"], pdf["found"], strict=True):
-                raw = _raw(text)
-                for x in found:
-                    pos, h, n = x["pos"], x["h"], x["n"]
-                    suffix = (h & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + raw[pos : pos + length]
-                    left = raw[max(0, pos - length + k) : pos][::-1]
-                    where = [((h & 0xFFFFFFFFFFFFFFFF) * ranges) >> 64]
+            return made
+
+        for whole in batches:
+            for k1, k2, raw, found in _places(whole):
+                for pos, h, n in found:
+                    h &= 0xFFFFFFFFFFFFFFFF
+                    suffix, left = h.to_bytes(8, "big") + raw[pos : pos + length], raw[max(0, pos - length + k) : pos][::-1]
+                    where = [(h * ranges) >> 64]
                     if n > hot_rows:
                         slices = -(-n // hot_rows)
                         own = hash((k1, k2, pos)) % slices
@@ -253,10 +295,11 @@ def _write_runs(length: int, k: int, ranges: int, hot_rows: int):
                     for part in where:
                         parts.setdefault(part, {}).setdefault((suffix, left), []).append((k1, k2, pos))
                     held += len(suffix) + len(left)
-            if held > 64_000_000:
-                yield out()
-                held = 0
-        yield out()
+                if held > _HELD:
+                    yield out()
+                    held = 0
+        if parts:
+            yield out()
 
     return run
 
@@ -293,32 +336,47 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with ``spans``: the maximal byte runs (start, end) of each UTF-8 text covered by repeated strings of ``length``.
 
     A string repeats if it also starts anywhere else, in the same text or another; overlaps count. Null and short texts
-    have no spans; rows that repeat with id and text are documents of their own, so long ones are covered whole. K-grams
-    in over ``hot_rows`` places are dealt in pairs of slices, so that no range holds an unbounded group; none is left out.
+    have no spans; rows that repeat with id and text are documents of their own, so long ones are covered whole. Anchors
+    whose k-gram is in over ``hot_rows`` places are first matched by digests of all around them; those that differ are
+    grouped by half a string on either side, and groups still above ``hot_rows`` are dealt in pairs of slices. So no range
+    holds an unbounded group, and none is left out.
     A column named spans is replaced.
     """
     ship(docs.sparkSession)
     docs = docs.drop("spans")
-    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("k1"), row_key(F.col(id_col), F.col(text_col)).alias("k2")]
-    texts = docs.select(*keys, F.col(text_col).alias("text"))
-    found = texts.mapInPandas(_find_anchors(length, kgram), "k1 long, k2 long, pos long, h long")
-    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = cut(found.join(often, "h").select("k1", "k2", F.struct("pos", "h", "n").alias("x")))
+    whole = docs.withColumns({"__k1": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "__k2": row_key(F.col(id_col), F.col(text_col)), "__text": F.col(text_col)})
+    keys = ["__k1", "__k2"]
+    found = whole.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "__text").mapInArrow(_find_anchors(length, kgram), "k1 long, k2 long, pos long, h long")
+    often = cut(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    wanted = cut(found.join(often, "h").select("k1", "k2", "pos", "h", "n"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        # All columns go along: so both uses, and the last join, share one exchange of the texts.
+        lists = rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "h", "n")).alias("__found"))
+        return whole.join(lists.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), keys)
+
+    hot, direct = wanted.where(F.col("n") > hot_rows), None
+    if not hot.isEmpty():
+        digests = cut(placed(hot).mapInArrow(_digest_contexts(length, kgram), "k1 long, k2 long, pos long, ctx binary, gs array<long>, l long, r long"))
+        one = cut(digests.groupBy("ctx").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "pos")).alias("o"), F.min("gs").alias("gs"), F.min(F.col("l") + F.col("r")).alias("size")))
+        same = one.where((F.col("c") > 1) & (F.col("size") >= length)).select("ctx")
+        direct = digests.join(same, "ctx").select("k1", "k2", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"))
+        grouped = one.select("o.*", F.explode("gs").alias("h"))
+        shared = cut(grouped.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+        wanted = cut(wanted.where(F.col("n") <= hot_rows).unionByName(grouped.join(shared, "h").select("k1", "k2", "pos", "h", "n")))
     ranges = max(1, wanted.count() // range_rows)
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_set("x").alias("found"))
-    placed = texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "found")
-    runs = placed.mapInPandas(_write_runs(length, kgram, ranges, hot_rows), "part long, run binary")
+    runs = placed(wanted).mapInArrow(_write_runs(length, kgram, ranges, hot_rows), "part long, run binary")
     spans = runs.groupBy("part").applyInPandas(_merge_part(length, kgram), "k1 long, k2 long, start long, end long")
+    spans = spans if direct is None else spans.unionByName(direct)
     gathered = spans.distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     merged = F.aggregate(
         "spans",
         F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
         lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
     )
-    whole = docs.withColumns({"__k1": keys[0], "__k2": keys[1]})
     gathered = gathered.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), merged.alias("spans"))
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    return whole.join(gathered, ["__k1", "__k2"], "left").withColumn("spans", F.coalesce("spans", none)).drop("__k1", "__k2")
+    return whole.join(gathered, keys, "left").withColumn("spans", F.coalesce("spans", none)).drop(*keys, "__text")
 
 
 def kept_digest(text: Column, spans: Column) -> Column:
