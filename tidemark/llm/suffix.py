@@ -81,19 +81,36 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _context(raw: bytes, pos: int, length: int, k: int) -> tuple[bytes, bytes]:
+    """All that a repeated string at an anchor can hold on its right and, reversed, on its left."""
+    return raw[pos : pos + length], raw[max(0, pos - length + k) : pos][::-1]
+
+
+def grouped_anchors(raw: bytes, length: int, k: int) -> list[tuple[int, list[int]]]:
+    """(k-gram hash as signed long, positions) of a text's anchors; anchors of equal context are one row."""
+    pos, h = anchors(raw, length, k)
+    hashes, count = np.unique(h, return_counts=True)
+    if len(hashes) == len(h):
+        return list(zip(h.view(np.int64).tolist(), pos[:, None].tolist(), strict=True))
+    often, out = set(hashes[count > 1].view(np.int64).tolist()), {}
+    for x, p in zip(h.view(np.int64).tolist(), pos.tolist(), strict=True):
+        out.setdefault((x, *_context(raw, p, length, k)) if x in often else p, (x, []))[1].append(p)
+    return list(out.values())
+
+
 def _find_anchors(length: int, k: int):
-    """mapInArrow: documents (k1, k2, text) to their anchors (k1, k2, pos, h)."""
+    """mapInArrow: documents (k1, k2, text) to their anchors (k1, k2, h, ps)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 k1, k2, texts = (c.slice(at, _ROWS) for c in whole.columns)
-                found = [anchors(_raw(t.as_py()), length, k) for t in texts]
-                n = [len(pos) for pos, _ in found]
+                found = [grouped_anchors(_raw(t.as_py()), length, k) for t in texts]
+                n = [len(x) for x in found]
                 if sum(n):
-                    keys = [np.repeat(c.to_numpy(), n) for c in (k1, k2)]
-                    pos, h = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, pos, h.view(np.int64))], names=["k1", "k2", "pos", "h"])
+                    keys = [pa.array(np.repeat(c.to_numpy(), n)) for c in (k1, k2)]
+                    rest = [pa.array([h for x in found for h, _ in x], pa.int64()), pa.array([ps for x in found for _, ps in x], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*keys, *rest], names=["k1", "k2", "h", "ps"])
 
     return run
 
@@ -235,17 +252,25 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _places(whole: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, list[tuple[int, int, int]]]]:
-    """Rows (k1, k2, bytes, [(pos, h, n)]) of documents with their anchors."""
-    lists = _column(whole, "__found")
-    ends = lists.offsets.to_numpy()
-    each = [lists.values.field(i).to_numpy() for i in range(3)]
-    k1, k2, texts = (_column(whole, n) for n in ("__k1", "__k2", "__text"))
+def _places(whole: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, int, bytes, list[tuple[list[int], int, int]]]]:
+    """Rows (k1, k2, bytes, [(positions, h, n)]) of documents with their anchors."""
+    k1, k2, texts, found = (_column(whole, n) for n in ("__k1", "__k2", text_col, "__found"))
     for row in range(whole.num_rows):
-        yield k1[row].as_py(), k2[row].as_py(), _raw(texts[row].as_py()), list(zip(*(x[ends[row] : ends[row + 1]].tolist() for x in each), strict=True))
+        yield k1[row].as_py(), k2[row].as_py(), _raw(texts[row].as_py()), [(x["ps"], x["h"], x["n"]) for x in found[row].as_py()]
+
 
+def _merged(ps: list[int], left: int, right: int) -> list[tuple[int, int]]:
+    """Spans around positions in rising order, those that touch made one."""
+    out: list[list[int]] = []
+    for p in sorted(ps):
+        if out and p - left <= out[-1][1]:
+            out[-1][1] = p + right
+        else:
+            out.append([p - left, p + right])
+    return [(a, b) for a, b in out]
 
-def _digest_contexts(length: int, k: int):
+
+def _digest_contexts(text_col: str, length: int, k: int):
     """mapInArrow: anchors to a digest of all that a repeated string at the anchor can hold, and to two finer group keys.
 
     Two anchors of one repeated string share half of ``length`` on the right or on the left.
@@ -256,20 +281,20 @@ def _digest_contexts(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             rows = []
-            for k1, k2, raw, found in _places(whole):
-                for pos, h, _ in found:
-                    right, left, key = raw[pos : pos + length], raw[max(0, pos - length + k) : pos], (h & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big")
+            for k1, k2, raw, found in _places(whole, text_col):
+                for ps, h, _ in found:
+                    (right, left), key = _context(raw, ps[0], length, k), (h & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big")
                     ctx = hashlib.blake2b(key + len(left).to_bytes(4, "big") + left + right, digest_size=16).digest()
-                    groups = [short(b"R" + key + right[:half])] * (len(right) >= half) + [short(b"L" + key + left[-half:])] * (len(left) >= half)
-                    rows.append((k1, k2, pos, ctx, groups, len(left), len(right)))
+                    groups = [short(b"R" + key + right[:half])] * (len(right) >= half) + [short(b"L" + key + left[:half])] * (len(left) >= half)
+                    rows.append((k1, k2, ps, ctx, groups, len(left), len(right)))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k1", "k2", "pos", "ctx", "gs", "l", "r"])
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k1", "k2", "ps", "ctx", "gs", "l", "r"])
 
     return run
 
 
-def _write_runs(length: int, k: int, ranges: int, hot_rows: int):
+def _write_runs(text_col: str, length: int, k: int, ranges: int, hot_rows: int):
     """mapInArrow: documents with their anchors to front-coded runs (part, run) of the suffixes at those anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,17 +308,18 @@ def _write_runs(length: int, k: int, ranges: int, hot_rows: int):
             return made
 
         for whole in batches:
-            for k1, k2, raw, found in _places(whole):
-                for pos, h, n in found:
+            for k1, k2, raw, found in _places(whole, text_col):
+                for ps, h, n in found:
                     h &= 0xFFFFFFFFFFFFFFFF
-                    suffix, left = h.to_bytes(8, "big") + raw[pos : pos + length], raw[max(0, pos - length + k) : pos][::-1]
+                    right, left = _context(raw, ps[0], length, k)
+                    suffix = h.to_bytes(8, "big") + right
                     where = [(h * ranges) >> 64]
                     if n > hot_rows:
                         slices = -(-n // hot_rows)
-                        own = hash((k1, k2, pos)) % slices
+                        own = hash((k1, k2, ps[0])) % slices
                         where = [hash((h, min(own, j), max(own, j))) % (1 << 40) + ranges for j in range(slices)]
                     for part in where:
-                        parts.setdefault(part, {}).setdefault((suffix, left), []).append((k1, k2, pos))
+                        parts.setdefault(part, {}).setdefault((suffix, left), []).append((k1, k2, ps))
                     held += len(suffix) + len(left)
                 if held > _HELD:
                     yield out()
@@ -313,11 +339,11 @@ def _merge_part(length: int, k: int):
         rows: list[tuple[bytes, bytes, list]] = []
 
         def close() -> None:
-            whole = [(len(left), len(s) - 8) if len(o) > 1 and len(left) + len(s) - 8 >= length else None for s, left, o in rows]
+            whole = [(len(left), len(s) - 8) if len(o) + len(o[0][2]) > 2 and len(left) + len(s) - 8 >= length else None for s, left, o in rows]
             near = longest_repeats([max(0, n - 8) for n in shared], [r[1] for r in rows], [len(r[0]) - 8 for r in rows], length) if len(rows) > 1 else [None]
             for (_, _, owners), w, b in zip(rows, whole, near, strict=True):
                 if hit := w or b:
-                    out.extend((k1, k2, pos - hit[0], pos + hit[1]) for k1, k2, pos in owners)
+                    out.extend((k1, k2, a, b) for k1, k2, ps in owners for a, b in _merged(ps, *hit))
 
         for n, s, left, owners in merge_runs(list(pdf["run"])):
             if n < 8 + k and rows:
@@ -332,6 +358,17 @@ def _merge_part(length: int, k: int):
     return spans
 
 
+def merge_spans(spans: Column) -> Column:
+    """Sorted array of (start, end) with those that overlap or touch made one."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when((F.size(acc) > 0) & (last["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(spans, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), step)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, kgram: int = 32, range_rows: int = 8000, hot_rows: int = 2000) -> DataFrame:
     """``docs`` with ``spans``: the maximal byte runs (start, end) of each UTF-8 text covered by repeated strings of ``length``.
 
@@ -344,39 +381,35 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     ship(docs.sparkSession)
     docs = docs.drop("spans")
-    whole = docs.withColumns({"__k1": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "__k2": row_key(F.col(id_col), F.col(text_col)), "__text": F.col(text_col)})
+    whole = docs.withColumns({"__k1": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "__k2": row_key(F.col(id_col), F.col(text_col))})
     keys = ["__k1", "__k2"]
-    found = whole.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "__text").mapInArrow(_find_anchors(length, kgram), "k1 long, k2 long, pos long, h long")
-    often = cut(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    wanted = cut(found.join(often, "h").select("k1", "k2", "pos", "h", "n"))
+    found = whole.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col(text_col).alias("text")).mapInArrow(_find_anchors(length, kgram), "k1 long, k2 long, h long, ps array<long>")
+    often = cut(found.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.size("ps")).alias("places")).where("places > 1").drop("places"))
+    wanted = cut(found.join(often, "h").select("k1", "k2", "ps", "h", "n"))
 
     def placed(rows: DataFrame) -> DataFrame:
         # All columns go along: so both uses, and the last join, share one exchange of the texts.
-        lists = rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "h", "n")).alias("__found"))
+        lists = rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("ps", "h", "n")).alias("__found"))
         return whole.join(lists.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), keys)
 
     hot, direct = wanted.where(F.col("n") > hot_rows), None
     if not hot.isEmpty():
-        digests = cut(placed(hot).mapInArrow(_digest_contexts(length, kgram), "k1 long, k2 long, pos long, ctx binary, gs array<long>, l long, r long"))
-        one = cut(digests.groupBy("ctx").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "pos")).alias("o"), F.min("gs").alias("gs"), F.min(F.col("l") + F.col("r")).alias("size")))
+        digests = cut(placed(hot).mapInArrow(_digest_contexts(text_col, length, kgram), "k1 long, k2 long, ps array<long>, ctx binary, gs array<long>, l long, r long"))
+        one = cut(digests.groupBy("ctx").agg(F.sum(F.size("ps")).alias("c"), F.min(F.struct("k1", "k2", "ps")).alias("o"), F.min("gs").alias("gs"), F.min(F.col("l") + F.col("r")).alias("size")))
         same = one.where((F.col("c") > 1) & (F.col("size") >= length)).select("ctx")
-        direct = digests.join(same, "ctx").select("k1", "k2", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"))
+        around = F.transform(F.sort_array("ps"), lambda p: F.struct((p - F.col("l")).alias("start"), (p + F.col("r")).alias("end")))
+        direct = digests.join(same, "ctx").select("k1", "k2", F.explode(merge_spans(around)).alias("s")).select("k1", "k2", "s.*")
         grouped = one.select("o.*", F.explode("gs").alias("h"))
         shared = cut(grouped.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-        wanted = cut(wanted.where(F.col("n") <= hot_rows).unionByName(grouped.join(shared, "h").select("k1", "k2", "pos", "h", "n")))
+        wanted = cut(wanted.where(F.col("n") <= hot_rows).unionByName(grouped.join(shared, "h").select("k1", "k2", "ps", "h", "n")))
     ranges = max(1, wanted.count() // range_rows)
-    runs = placed(wanted).mapInArrow(_write_runs(length, kgram, ranges, hot_rows), "part long, run binary")
+    runs = placed(wanted).mapInArrow(_write_runs(text_col, length, kgram, ranges, hot_rows), "part long, run binary")
     spans = runs.groupBy("part").applyInPandas(_merge_part(length, kgram), "k1 long, k2 long, start long, end long")
     spans = spans if direct is None else spans.unionByName(direct)
     gathered = spans.distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    merged = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    gathered = gathered.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), merged.alias("spans"))
+    gathered = gathered.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), merge_spans(F.col("spans")).alias("spans"))
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    return whole.join(gathered, keys, "left").withColumn("spans", F.coalesce("spans", none)).drop(*keys, "__text")
+    return whole.join(gathered, keys, "left").withColumn("spans", F.coalesce("spans", none)).drop(*keys)
 
 
 def kept_digest(text: Column, spans: Column) -> Column:
