@@ -26,6 +26,25 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
+class _Words(dict):
+    """Packed ids of words, segmented when first asked for; long words aren't kept, and a full cache starts anew."""
+
+    def __init__(self, coder: PieceCoder, before: str, most: int):
+        self.coder, self.before, self.most = coder, before, most
+
+    def __missing__(self, word: str) -> bytes:
+        ids = _packed(self.coder._segment(self.before + word))
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class PieceCoder:
     """Encodes and decodes with one model file's pieces."""
 
@@ -57,12 +76,16 @@ class PieceCoder:
         self.inner = any(SPACE in p.lstrip(SPACE) for p in normal)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.seams: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, list[int]] = {}
+        self.cache = _Words(self, "", cache_words)
+        self.plain = _Words(self, SPACE, cache_words)
         self.cache_words = cache_words
         control = {i for i, p in enumerate(proto.pieces) if p.type == CONTROL}
         back = {i: b for b, i in self.bytes.items()}
         self.raw = [bytes([back[i]]) if i in back else b"" if i in control else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.raw[self.unknown] = " ⁇ ".encode()
+        self.raw_size = np.array([len(r) for r in self.raw], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
 
     def _derive(self, word: str) -> bool:
         """Merge a piece's own characters; true if they end in the piece, whose last merge is then its split."""
@@ -146,24 +169,31 @@ class PieceCoder:
             end = start
         return [i for ids in reversed(out) for i in ids]
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a text; none for a null or empty one."""
+    def encode_raw(self, text: str | None) -> bytes:
+        """Ids of a text as 32-bit integers; none for a null or empty one."""
         if not text:
-            return []
-        text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+            return b""
         if self.inner:
-            return self._segment(text)
-        out: list[int] = []
-        cache, add = self.cache, out.extend
-        for word in self.words.findall(text):
-            ids = cache.get(word)
-            if ids is None:
-                ids = self._segment(word)
-                if len(word) <= 64:
-                    if len(cache) >= self.cache_words:
-                        cache.clear()
-                    cache[word] = ids
-            add(ids)
+            return _packed(self._segment((SPACE if self.prefix else "") + text.replace(" ", SPACE)))
+        if self.prefix and text[0] != " " and "  " not in text and SPACE not in text:
+            return b"".join(map(self.plain.__getitem__, text.split(" ")))
+        text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        return b"".join(map(self.cache.__getitem__, self.words.findall(text)))
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_raw(text), np.int32).tolist()
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Bytes of many texts, whose ids lie in one array up to ``ends``; the prefix's space is taken off."""
+        sizes = self.raw_size[ids]
+        after = np.cumsum(sizes)
+        picked = np.repeat(self.raw_start[ids] - (after - sizes), sizes) + np.arange(int(after[-1]) if len(after) else 0)
+        flat = self.raw_bytes[picked].tobytes()
+        stops = np.where(ends > 0, np.append(after, 0)[ends - 1], 0).tolist()
+        out, a = [], 0
+        for b in stops:
+            out.append(flat[a + (self.prefix and flat[a : a + 1] == b" " and b > a) : b])
+            a = b
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -199,16 +229,17 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", chec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(model.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
-                ids = [coder.encode(t) for t in texts]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
+                packed = [coder.encode_raw(t) for t in texts]
+                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed]))).astype(np.int32)
+                flat = np.frombuffer(b"".join(packed), np.int32)
                 columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__text"]
                 columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.diff(offsets).astype(np.int64))]
                 if check:
-                    columns.append(pa.array([coder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]))
+                    back = coder.decode_all(flat, offsets[1:])
+                    columns.append(pa.array([x == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(back, texts, strict=True)]))
                 yield pa.RecordBatch.from_arrays(columns, names=[*(n for n in batch.schema.names if n != "__text"), "ids", "n_ids", *["decoded_equal"] * check])
 
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), *[T.StructField("decoded_equal", T.BooleanType())] * check]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,12 +136,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     ship(docs.sparkSession)
     model = fit_model(labelled_sample(docs, labels, id_col=id_col, text_col=text_col))
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coders = model.coders() if model.good and model.bad else None
         for texts in batches:
-            m = [size_measures(t, coders) if coders else (0.0, 0.0, 0.0, 1.0 if t else 0.0) for t in texts]
-            yield pd.Series(model.scores(np.array(m).reshape(-1, 4)))
+            m = [size_measures(t, coders) if coders else (0.0, 0.0, 0.0, 1.0 if t else 0.0) for t in (x.as_py() for x in texts)]
+            yield pa.array(model.scores(np.array(m).reshape(-1, 4)))
 
     scored = docs.drop("score", "predicted").withColumn("score", scores(F.col(text_col)))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +48,10 @@ def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 def fingerprint(text: Column, shingle: int = 4, seed: int = 42) -> Column:
     """Column of fingerprints as signed longs (the same 64 bits)."""
 
-    @F.pandas_udf("long")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(np.array([simhash(t, shingle, seed) for t in texts], np.uint64).view(np.int64))
+            yield pa.array(np.array([simhash(t.as_py(), shingle, seed) for t in texts], np.uint64).view(np.int64))
 
     return prints(text)
 
@@ -141,18 +142,20 @@ def near_links(prints: DataFrame, bits: int = 4, blocks: int | None = None, buck
     return dealt.mapInPandas(_bucket_links(bits), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4, seed: int = 42, blocks: int | None = None) -> DataFrame:
-    """One row (id, fp, component_id) per row of ``docs``; component_id is the least id reachable over links.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4, seed: int = 42, blocks: int | None = None, row_key: Column | None = None) -> DataFrame:
+    """One row (id, fp, root, component_id) per row of ``docs``; component_id is the least id reachable over links.
+
+    root is a print that names the class. With ``row_key``, that column goes along as key.
 
     Null and empty texts and texts of white space have print 0 and are linked as any others; repeated rows come back
     as often as they came; a null id gets its class's least id, null only where the class has no other. No rows give none.
     """
     ship(docs.sparkSession)
-    own = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle, seed).alias("fp")))
+    own = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle, seed).alias("fp"), *([] if row_key is None else [row_key.alias("key")])))
     least = own.groupBy("fp").agg(F.min("id").alias("low"))
     least = cut(least)
     roots = connected_components(near_links(least.select("fp"), bits, blocks))
     classed = least.join(roots, least.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = classed.groupBy("root").agg(F.min("low").alias("component_id"))
-    members = classed.join(lowest, "root").select("fp", "component_id")
-    return own.join(members, "fp").select("id", "fp", "component_id")
+    members = classed.join(lowest, "root").select("fp", "root", "component_id")
+    return own.join(members, "fp").select("id", "fp", "root", "component_id", *([] if row_key is None else ["key"]))
