@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
+ROWS_PER_FILE = 250_000
+
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """One contraction. Rows (a, b) with a > b in; rows of the same form out.
@@ -37,4 +39,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(got) == state or not got[0]:
             return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         state = tuple(got)
-        cur = cut(_star(_star(cur, True), False))
+        # A round makes at most about twice the rows, so few rows need few checkpoint files.
+        cur = cut(_star(_star(cur, True), False).coalesce(max(1, 2 * got[0] // ROWS_PER_FILE)))
