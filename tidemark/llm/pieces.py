@@ -48,7 +48,7 @@ class _Words(dict):
 class PieceCoder:
     """Encodes and decodes with one model file's pieces."""
 
-    def __init__(self, model: bytes, cache_words: int = 200_000):
+    def __init__(self, model: bytes, cache_words: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -71,11 +71,11 @@ class PieceCoder:
             normal = {w: i for w, i in normal.items() if self._derive(w)}
         self.automaton = ahocorasick.Automaton()
         for word, i in normal.items():
-            self.automaton.add_word(word, (len(word), i, word))
+            self.automaton.add_word(word, (len(word), i))
         self.automaton.make_automaton()
         self.inner = any(SPACE in p.lstrip(SPACE) for p in normal)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.seams: dict[tuple[str, str], bool] = {}
+        self.seams: dict[int, bool] = {}
         self.cache = _Words(self, "", cache_words)
         self.plain = _Words(self, SPACE, cache_words)
         self.cache_words = cache_words
@@ -100,15 +100,13 @@ class PieceCoder:
             parts[best : best + 2] = [joined]
         return True
 
-    def _holds(self, left: str, right: str) -> bool:
+    def _holds(self, left_id: int, right_id: int) -> bool:
         """Whether no merge crosses the seam between two pieces.
 
         Unwinds both pieces' merges along the seam, the later first. A merge of the two parts at the seam happens if its
         rank comes before both parts' next merges; of equal ranks, the one further left comes first.
         """
-        key = (left, right)
-        if (known := self.seams.get(key)) is not None:
-            return known
+        left, right = self.pieces[left_id], self.pieces[right_id]
         never = 1 << 60
         until_left = until_right = never
         x, y, ok = left, right, True
@@ -127,7 +125,7 @@ class PieceCoder:
                 until_right, y = ry, self.splits[y][0]
         if len(self.seams) >= 4 * self.cache_words:
             self.seams.clear()
-        self.seams[key] = ok
+        self.seams[left_id << 24 | right_id] = ok
         return ok
 
     def _spell(self, char: str) -> list[int]:
@@ -136,38 +134,77 @@ class PieceCoder:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
 
     def _segment(self, word: str) -> list[int]:
+        return self._best_sum(word) if self.kind == UNIGRAM else self._merged(word)
+
+    def _merged(self, word: str) -> list[int]:
+        """One pass over the automaton's outputs, the longest of an end first: kept is the one that its seam allows."""
+        n = len(word)
+        ids, starts = [-2] * (n + 1), [0] * (n + 1)  # of the last piece up to each end; -2 not reached, -1 an unknown character
+        ids[0] = -1
+        seams, holds = self.seams, self._holds
+        for stop, (size, i) in self.automaton.iter(word):
+            end = stop + 1
+            if ids[end] != -2:
+                continue
+            start = end - size
+            left = ids[start]
+            if left == -2:  # all that ends there has been seen
+                left = self._unknown(start, ids, starts)
+            if left >= 0:
+                ok = seams.get(left << 24 | i)
+                if ok is None:
+                    ok = holds(left, i)
+                if not ok:
+                    continue
+            ids[end] = i
+            starts[end] = start
+        if ids[n] == -2:
+            self._unknown(n, ids, starts)
+        return self._traced(word, ids, starts)
+
+    @staticmethod
+    def _unknown(end: int, ids: list[int], starts: list[int]) -> int:
+        """Positions up to ``end`` that no piece reaches take their character as unknown."""
+        at = end
+        while ids[at] == -2:
+            ids[at], starts[at] = -1, at - 1
+            at -= 1
+        return -1
+
+    def _best_sum(self, word: str) -> list[int]:
+        """One pass over the automaton's outputs: each relaxes the best sum of scores at its end."""
         n = len(word)
-        last: list = [None] * (n + 1)  # (start, id, piece)
-        total = [0.0] + [float("-inf")] * n
-        at = 1
-        unigram = self.kind == UNIGRAM
+        ids, starts, total = [-2] * (n + 1), [0] * (n + 1), [0.0] + [float("-inf")] * n
+        ids[0], at = -1, 1
 
-        def fill(end: int) -> None:
-            """Positions up to ``end`` that no piece reaches take their character as unknown."""
+        def settle(end: int) -> None:
+            """Ends before ``end`` are complete; an unknown character there may still be the best."""
             nonlocal at
-            while at <= end:
-                if last[at] is None or (unigram and total[at - 1] + self.lowest > total[at]):
-                    last[at] = (at - 1, -1, word[at - 1])
-                    total[at] = total[at - 1] + self.lowest
+            while at < end:
+                if total[at - 1] + self.lowest > total[at]:
+                    total[at], ids[at], starts[at] = total[at - 1] + self.lowest, -1, at - 1
                 at += 1
 
-        for stop, (size, i, piece) in self.automaton.iter(word):
+        for stop, (size, i) in self.automaton.iter(word):
             end = stop + 1
-            fill(end - 1)
+            settle(end)
             start = end - size
-            if unigram:
-                if total[start] + self.score[i] > total[end]:
-                    total[end], last[end] = total[start] + self.score[i], (start, i, piece)
-            elif last[end] is None and (start == 0 or last[start][1] < 0 or self._holds(last[start][2], piece)):
-                last[end] = (start, i, piece)
-        fill(n)
-        out: list[list[int]] = []
-        end = n
+            if total[start] + self.score[i] > total[end]:
+                total[end], ids[end], starts[end] = total[start] + self.score[i], i, start
+        settle(n + 1)
+        return self._traced(word, ids, starts)
+
+    def _traced(self, word: str, ids: list[int], starts: list[int]) -> list[int]:
+        out, end = [], len(word)
         while end:
-            start, i, piece = last[end]
-            out.append([i] if i >= 0 else self._spell(piece))
-            end = start
-        return [i for ids in reversed(out) for i in ids]
+            i = ids[end]
+            if i >= 0:
+                out.append(i)
+            else:
+                out += reversed(self._spell(word[end - 1]))
+            end = starts[end]
+        out.reverse()
+        return out
 
     def encode_raw(self, text: str | None) -> bytes:
         """Ids of a text as 32-bit integers; none for a null or empty one."""
