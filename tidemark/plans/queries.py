@@ -35,8 +35,18 @@ FNV = "list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split
 SQL_KEY = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
 SQL_ALIAS = "regexp_replace(regexp_replace(regexp_replace(replace(replace(trim(lower({0})), '&', 'and'), 'bunnies', 'bunny'), 'ies\\b', 'y', 'g'), 's\\b', '', 'g'), '[^a-z0-9]+', '', 'g')"
 SQL_SINGULAR = "CASE WHEN length({0}) < 4 OR {0} LIKE '%ss' THEN {0} WHEN {0} LIKE '%ies' THEN left({0}, length({0}) - 3) || 'y' WHEN {0} LIKE '%boxes' THEN left({0}, length({0}) - 5) || 'box' WHEN regexp_matches({0}, '(ches|shes)$') THEN left({0}, length({0}) - 2) WHEN {0} LIKE '%s' THEN left({0}, length({0}) - 1) ELSE {0} END"
-AS_OF = F.lit("2024-01-25 00:00:00").cast("timestamp")
-SALE_AS_OF = F.lit("1998-06-01 00:00:00").cast("timestamp")
+
+
+def as_of():
+    """The clock of the event tables."""
+    return F.lit("2024-01-25 00:00:00").cast("timestamp")
+
+
+def sale_as_of():
+    """The clock of the sales."""
+    return F.lit("1998-06-01 00:00:00").cast("timestamp")
+
+
 COMBO = R.COMBO
 
 
@@ -132,7 +142,7 @@ WHERE snapshot_at IS NULL OR TIMESTAMP '1998-06-01' - snapshot_at > INTERVAL 3 H
 def heal_worklist(spark, d):
     """A limit is the feature: the next 250 combinations to refresh."""
     reg = src.sales(spark, d).where("market = 'O'").groupBy(*COMBO).agg(F.max("sold_at").alias("snapshot_at"))
-    return R.heal_worklist(src.holdings(spark, d), reg, COMBO, SALE_AS_OF).select(*COMBO, "reason")
+    return R.heal_worklist(src.holdings(spark, d), reg, COMBO, sale_as_of()).select(*COMBO, "reason")
 
 
 @query(f"""WITH s AS (SELECT DISTINCT p_name AS name, {SQL_KEY.format("p_name")} AS k FROM part) SELECT name || 's' AS name, name AS stored FROM s
@@ -177,12 +187,12 @@ def latest_per_key(spark, d):
 
 @query(f"WITH {SNAPSHOTS} SELECT * FROM snapshots WHERE floor > 0 AND sampled_at BETWEEN TIMESTAMP '2024-01-18' AND TIMESTAMP '2024-01-25' QUALIFY count(*) OVER (PARTITION BY collection, model) >= 2")
 def history_range(spark, d):
-    return N.history(src.snapshots(spark, d), ["collection", "model"], AS_OF, 7)
+    return N.history(src.snapshots(spark, d), ["collection", "model"], as_of(), 7)
 
 
 @query(f"WITH {SNAPSHOTS} SELECT * FROM snapshots WHERE sampled_at >= TIMESTAMP '2024-01-25' - INTERVAL 20 DAY")
 def retention(spark, d):
-    return N.retain(src.snapshots(spark, d), AS_OF, 20)
+    return N.retain(src.snapshots(spark, d), as_of(), 20)
 
 
 @query(f"WITH {SNAPSHOTS} SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY collection, model ORDER BY sampled_at DESC, event_id DESC) <= 5")
@@ -250,7 +260,7 @@ def sales_top5(spark, d):
 
 @query(f"WITH {SALES} SELECT collection, count(*) FILTER (WHERE sold_at > TIMESTAMP '1998-05-31' AND sold_at <= TIMESTAMP '1998-06-01') AS sales, round(coalesce(sum(price) FILTER (WHERE sold_at > TIMESTAMP '1998-05-31' AND sold_at <= TIMESTAMP '1998-06-01'), 0), 4) AS volume FROM sales GROUP BY 1")
 def sales_24h(spark, d):
-    return S.day_figures(src.sales(spark, d), ["collection"], SALE_AS_OF).withColumn("volume", F.round("volume", 4))
+    return S.day_figures(src.sales(spark, d), ["collection"], sale_as_of()).withColumn("volume", F.round("volume", 4))
 
 
 @query(f"WITH {SALES} SELECT * FROM (SELECT collection, model, sold_at::DATE AS day, round(min(price), 4) AS low, count(*) AS sold FROM sales WHERE price > 0 GROUP BY ALL) QUALIFY count(*) OVER (PARTITION BY collection, model) >= 2")
@@ -280,7 +290,7 @@ def watermark_scan(spark, d):
 SELECT bucket::INT AS bucket, CASE WHEN bucket = 14 THEN TIMESTAMP '2024-01-25' ELSE s + to_hours(h) END AS at FROM b, range(24) r(h) WHERE (bucket = 14 AND h = 0) OR (bucket < 14 AND s + to_hours(h) < e)""")
 def sample_grid(spark, d):
     one = spark.range(1)
-    return T.interval_grid(one, AS_OF - F.expr("interval 7 days"), AS_OF, 15, 1).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    return T.interval_grid(one, as_of() - F.expr("interval 7 days"), as_of(), 15, 1).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 @query("""WITH b AS (SELECT i AS bucket, TIMESTAMP '2024-01-25' - to_days((30 - i)::INT) AS s FROM range(31) t(i)) SELECT bucket::INT AS bucket, s + to_hours(h * 6) AS at FROM b, range(4) r(h) WHERE s + to_hours(h * 6) <= TIMESTAMP '2024-01-25 15:30:00'
@@ -300,8 +310,8 @@ def monthly_grid(spark, d):
 @query(f"""WITH {LEDGER}, g AS (SELECT i AS bucket, TIMESTAMP '2024-01-01' + to_days(i::INT) AS at FROM range(25) t(i)), f AS (SELECT wallet, min(at) AS first FROM ledger GROUP BY 1)
 SELECT wallet, bucket::INT AS bucket, g.at FROM f, g WHERE g.at >= first UNION SELECT wallet, date_diff('day', TIMESTAMP '2024-01-01', at)::INT, at FROM ledger WHERE at <= TIMESTAMP '2024-01-25'""")
 def activity_grid(spark, d):
-    grid = T.daily_grid(spark.range(1), AS_OF, 25, 24)
-    return T.trim_grid(grid, src.ledger(spark, d), AS_OF).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    grid = T.daily_grid(spark.range(1), as_of(), 25, 24)
+    return T.trim_grid(grid, src.ledger(spark, d), as_of()).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 _PROBES = "probes AS (SELECT user_id AS wallet, ts AS at, event_id FROM events WHERE event_type = 'purchase')"
