@@ -14,6 +14,7 @@ from tidemark.operators import registry as R
 from tidemark.operators import sales as S
 from tidemark.operators import series as T
 from tidemark.operators import snapshots as N
+from tidemark.operators import sources as O
 from tidemark.operators import valuation as V
 from tidemark.sources import tables as src
 
@@ -706,6 +707,51 @@ def name_hash(spark, d):
     return n.select("name", numbers.fnv1a(F.col("name")).alias("h"), numbers.bucket(F.col("name")).alias("bucket"))
 
 
+# Feeds
+
+
+@query("""WITH r AS (SELECT l_partkey AS token, l_linestatus || l_returnflag AS source, l_orderkey * 100 + l_linenumber AS r, l_suppkey AS s, l_extendedprice AS p, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE l_returnflag END AS name, CASE WHEN l_orderkey % 2 = 0 THEN l_suppkey END AS maker FROM lineitem)
+SELECT token, arg_min(name, row(r, s, p)) FILTER (WHERE name <> '') AS name, arg_min(maker, row(r, s, p)) FILTER (WHERE maker IS NOT NULL) AS maker, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM r GROUP BY 1""")
+def feeds_consolidated(spark, d):
+    k = F.col("l_orderkey")
+    rows = src.table(spark, d, "lineitem").select(F.col("l_partkey").alias("token"), F.concat("l_linestatus", "l_returnflag").alias("source"), F.struct((k * 100 + F.col("l_linenumber")).alias("r"), F.col("l_suppkey").alias("s"), F.col("l_extendedprice").alias("p")).alias("source_rank"), F.when(k % 3 == 0, "").otherwise(F.col("l_returnflag")).alias("name"), F.when(k % 2 == 0, F.col("l_suppkey")).alias("maker"))
+    return O.consolidated(rows, "token", ["name", "maker"])
+
+
+@query("""WITH r AS (SELECT value AS rate, epoch_us(TIMESTAMP '2024-01-25') - epoch_us(ts) AS age, CASE event_type WHEN 'view' THEN 1 ELSE 2 END AS source_rank FROM events WHERE ts <= TIMESTAMP '2024-01-25' AND value > 0)
+SELECT coalesce(arg_min(rate, row(source_rank, age)) FILTER (WHERE age <= 3600000000), arg_min(rate, age), 3.12) AS rate, CASE WHEN count(*) FILTER (WHERE age <= 3600000000) > 0 THEN 'live' WHEN count(*) > 0 THEN 'last' ELSE 'constant' END AS rate_source FROM r""")
+def rate_chain(spark, d):
+    e = src.table(spark, d, "events").select(F.col("value").alias("rate"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "view", 1).otherwise(2).alias("source_rank"))
+    return O.rate_at(e, as_of(), 1, 3.12)
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'swap' WHEN event_type = 'click' THEN 'out' ELSE 'in' END AS direction, CASE WHEN event_type = 'error' THEN '' ELSE 'shop' || (event_id % 7) END AS counterparty,
+lower(concat_ws(' ', CASE WHEN event_type = 'error' THEN 'swap' WHEN event_type = 'click' THEN 'out' ELSE 'in' END, CASE WHEN event_type = 'error' THEN '' ELSE 'shop' || (event_id % 7) END, 'COIN', CASE WHEN event_type = 'error' THEN 'swap' ELSE 'transfer' END)) AS search FROM events""")
+def activity_rows(spark, d):
+    e = src.table(spark, d, "events")
+    me, shop = F.concat(F.lit("u"), "user_id"), F.concat(F.lit("shop"), F.col("event_id") % 7)
+    out = F.col("event_type") == "click"
+    moves = e.select("event_id", me.alias("wallet"), F.when(out, me).otherwise(shop).alias("source"), F.when(out, shop).otherwise(me).alias("destination"), F.when(F.col("event_type") == "error", "swap").otherwise("transfer").alias("kind"), F.col("value").alias("amount"), F.lit("COIN").alias("symbol"))
+    return O.activity(moves).select("event_id", "direction", "counterparty", "search")
+
+
+@query("SELECT o_orderpriority AS cycle, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, floor(count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) * 100 + 0.5)::BIGINT AS percent FROM orders GROUP BY 1")
+def cycle_progress(spark, d):
+    return O.progress(src.table(spark, d, "orders").withColumnRenamed("o_orderpriority", "cycle"), F.col("o_orderstatus") == "F", ["cycle"])
+
+
+@query("SELECT p_partkey AS id, p_retailprice <= 1500 AND p_size <= 30 AND (p_retailprice > 0 OR p_size > 0) AS plausible, CASE WHEN p_size - 25 >= 20 THEN 'rising' WHEN p_size - 25 <= -20 THEN 'falling' ELSE 'steady' END AS demand, abs(p_retailprice - 1200) / 1200 <= 0.35 AS agrees FROM part")
+def floor_checks(spark, d):
+    p, size = F.col("p_retailprice"), F.col("p_size").cast("double")
+    return src.table(spark, d, "part").select(F.col("p_partkey").alias("id"), O.plausible_floor(p, size, 1500.0, 30.0).alias("plausible"), O.demand(size - 25).alias("demand"), O.agrees(p, F.lit(1200.0)).alias("agrees"))
+
+
+@query("SELECT p_partkey AS id, p_type AS model, regexp_replace(replace(replace(replace('<b>' || p_name || '</b>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), 'zzz', '') AS html, CASE WHEN length(p_name) > 12 THEN left(p_name, 6) || '...' || right(p_name, 4) ELSE p_name END AS short FROM part")
+def labels_and_escapes(spark, d):
+    n = F.col("p_name")
+    return src.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("model"), text.escape_html(F.concat(F.lit("<b>"), n, F.lit("</b>"))).alias("html"), text.short_address(n).alias("short"))
+
+
 # Extensions without a counterpart in the model application
 
 
