@@ -19,9 +19,9 @@ HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 #: Encodings in order of inference: pattern, alphabet (lower case counts as upper case in hex and base32), and the sums of
-#: squares and of cubes of symbol shares that text-like strings would have in it.
+#: squares and of cubes of symbol shares that text-like strings would have in it (in hex, those of decimal numbers).
 ENCODINGS = {
-    "hex": (r"^[0-9a-fA-F]+$", "0123456789ABCDEF", 0.12, 0.020),
+    "hex": (r"^[0-9a-fA-F]+$", "0123456789ABCDEF", 0.10, 0.0105),
     "base32": (r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066, 0.0057),
     "base64": (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.062, 0.0050),
 }
