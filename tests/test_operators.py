@@ -170,6 +170,43 @@ def test_balances_of_emptied_wallets(spark):
     assert [got[1, h] for h in (-1, 0, 5, 7)] == [0, 5, 0, 0] and [got[2, h] for h in (-1, 0, 5, 7)] == [0, 4, 4, 7]
 
 
+def test_series_go_on_over_slices_of_time(spark):
+    rng = random.Random(4)
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    wallets = [1] * 8 + [2, None]  # most rows belong to one
+    quotes = [(rng.choice(wallets), at(t), float(rng.randint(1, 99))) for t in rng.sample(range(2400), 150)]
+    moves = [(rng.choice(wallets), at(rng.randrange(2400)), float(rng.randint(-5, 9))) for _ in range(300)]
+    probes = [(rng.choice(wallets), at(rng.randrange(-50, 2500)), n) for n in range(200)]
+    q, m = (spark.createDataFrame(rows, f"wallet long, at timestamp, {c} double") for rows, c in ((quotes, "price"), (moves, "amount")))
+    p = spark.createDataFrame(probes, "wallet long, at timestamp, n int")
+    price = {r.n: r.price for r in T.nearest_price(p, q, slice_hours=7).collect()}
+    line = {r.n: r.price for r in T.interpolated(p, q, slice_hours=7).collect()}
+    held = {r.n: r.balance for r in T.balances(p, m, slice_hours=7).collect()}
+    for w, t, n in probes:
+        own = sorted((x[1], x[2]) for x in quotes if x[0] == w)
+        assert price[n] == (min(own, key=lambda x: (abs(x[0] - t), x[0]))[1] if own else None)
+        a, b = [x for x in own if x[0] <= t][-1:], [x for x in own if x[0] > t][:1]
+        want = a[0][1] + (b[0][1] - a[0][1]) * ((t - a[0][0]) / (b[0][0] - a[0][0])) if a and b else (a or b)[0][1]
+        assert math.isclose(line[n], want)
+        if w is not None:  # movements of no wallet belong to no wallet
+            mine = [x for x in moves if x[0] == w]
+            now, run = max(0.0, sum(x[2] for x in mine)), sum(x[2] for x in mine if x[1] <= t)
+            later = sum(x[2] for x in mine if x[1] > t)
+            assert held[n] == max(0.0, run if now == 0 and any(x[2] > 0 for x in mine) else now - later)
+    points = [(w, at(h), n, rng.choice([None, *range(50)])) for n, (w, h) in enumerate((rng.choice(wallets), rng.randrange(900)) for _ in range(200))]
+    df = spark.createDataFrame(points, "wallet long, at timestamp, n int, value long").withColumn("value", F.col("value").cast("double"))
+    got = {r.n: r.change_pct for r in T.changes(df, ["wallet"], ordinal="n", slice_hours=5).collect()}
+    assert len(got) == len(points)
+    for w in (1, 2, None):
+        before = None
+        for _, _, n, v in sorted((x for x in points if x[0] == w), key=lambda x: (x[1], x[2])):
+            assert math.isclose(got[n], 0.0 if before is None or v is None else (v - before) / max(1, before) * 100)
+            before = v
+    pinned = {r.n: r.value for r in T.pin_last(df.where("wallet = 1"), ["wallet"], F.lit(-1.0)).collect()}
+    ends = max(x[1] for x in points if x[0] == 1)
+    assert [x[1] for x in points if pinned.get(x[2]) == -1.0] == [ends]
+
+
 def test_quality_rules(spark):
     rows = [("blacklist", "A", "A", 1.0, 0.0, True, 1e6, 1e6, 99), ("none", "Unknown Jetton", "A", 1.0, 0.0, True, 1e6, 1e6, 99), ("none", "A", "A", 500.0, 0.0, False, 0.0, 0.0, 0), ("none", "A", "A", 500.0, None, True, 60.0, 1.0, 1), ("none", "A", "A", 60000.0, 5.0, True, 100.0, 1e6, 99), ("whitelist", "A", "A", 60000.0, 5.0, True, 0.0, 0.0, 0), ("none", "A", "A", 50.0, 0.0, True, 60.0, 1.0, 1), ("none", "A", "A", 50.0, 0.0, False, 0.0, 0.0, 0)]
     df = spark.createDataFrame([(i, *r, 1.0) for i, r in enumerate(rows)], "id int, verification string, name string, symbol string, value double, change double, market_backed boolean, liquidity double, volume double, trades int, price double")

@@ -41,35 +41,66 @@ def monthly_grid(one: DataFrame, now: Column, months: int = 13, step_hours: int
     return base.select("bucket", F.explode(times).alias("at"))
 
 
+def _group(keys: list[str], at: str, hours: float) -> Column:
+    """Keys and the number of the stretch of time that ``at`` lies in, as a struct: as such, nulls are equal to nulls."""
+    return F.struct(*keys, F.floor(F.unix_micros(F.col(at).cast("timestamp")) / int(hours * HOUR)).alias("__s"))
+
+
+def _carried(rows: DataFrame, keys: list[str], aggs: dict[str, Column], given: dict[str, tuple[str, str]]) -> DataFrame:
+    """``rows`` with what other slices of the same key hand over; ``rows`` has its ``_group`` as __g, which is dropped.
+
+    ``aggs`` sums up a slice; ``given`` names, for each added column, one of them and how it comes over: the ``sum`` or
+    ``last`` of the slices before, or the ``first`` of those after. Only summaries of slices, a row each, are laid out by
+    key alone, so a key with a third of all rows is spread over as many tasks as it has slices. Windows over __g that
+    come before share their exchange and order with the join here.
+    """
+    w = Window.partitionBy(*[F.col("__g")[k] for k in keys]).orderBy(F.col("__g")["__s"])
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    ways = {"sum": lambda c: F.sum(c).over(before), "last": lambda c: F.last(c, True).over(before), "first": lambda c: F.first(c, True).over(after)}
+    each = rows.groupBy("__g").agg(*[c.alias(n) for n, c in aggs.items()])
+    return rows.join(each.select("__g", *[ways[way](name).alias(out) for out, (name, way) in given.items()]), "__g", "left").drop("__g")
+
+
 def trim_grid(grid: DataFrame, moves: DataFrame, now: Column) -> DataFrame:
     """(wallet, bucket, at): each wallet's grid from its first movement on, with its movements put into their buckets.
 
-    ``moves`` has wallet and at. Movements find their bucket by a window over the few bucket starts of the wallet.
+    ``moves`` has wallet and at. The starts of the buckets are one short array, in which each movement finds its bucket.
     """
     firsts = moves.groupBy("wallet").agg(F.min("at").alias("first"))
     each = firsts.crossJoin(F.broadcast(grid))  # a grid has at most a few hundred rows
-    starts = grid.groupBy("bucket").agg(F.min("at").alias("at"))
-    marks = firsts.crossJoin(F.broadcast(starts)).select("wallet", "at", "bucket")
-    w = Window.partitionBy("wallet").orderBy("at", F.col("bucket").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = marks.unionByName(moves.where(F.col("at") <= now).select("wallet", "at", F.lit(None).cast("int").alias("bucket"))).withColumn("in", F.last("bucket", True).over(w))
-    extra = placed.where(F.col("bucket").isNull() & F.col("in").isNotNull()).select("wallet", F.col("in").alias("bucket"), "at")
+    starts = grid.groupBy("bucket").agg(F.min("at").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "bucket"))).alias("starts"))
+    inside = moves.where(F.col("at") <= now).select("wallet", "at").crossJoin(F.broadcast(starts))  # one row
+    held = F.filter("starts", lambda x: x["at"] <= F.col("at"))
+    extra = inside.select("wallet", F.try_element_at(held, F.lit(-1))["bucket"].alias("bucket"), "at").where(F.col("bucket").isNotNull())
     return each.where((F.col("at") >= F.col("first")) & (F.col("at") <= now)).select("wallet", "bucket", "at").unionByName(extra).distinct()
 
 
-def nearest_price(probes: DataFrame, quotes: DataFrame, key: str = "wallet", max_stale_hours: float | None = None, fallback: Column | None = None) -> DataFrame:
-    """``probes`` (key, at, ...) with the quote nearest in time, before or after; of equal gaps, the earlier.
+def _between(probes: DataFrame, quotes: DataFrame, key: str, slice_hours: float) -> DataFrame:
+    """Probes (p, t) with the quotes (t, price) next before or at them, a, and next after or at them, b; null where none.
 
-    Quotes and probes are laid out in one order per key, and each probe looks at its two neighbours: no range join. A
-    price of zero, or beyond the limit, falls through to ``fallback``.
+    Quotes and probes are laid out in one order per key and slice of time; where a slice has no quote on one side of a
+    probe, the nearest slice's does. No range join. Of quotes at one instant, a is the dearest and b the cheapest.
     """
     none = F.lit(None).cast("struct<t:bigint,price:double>")
-    p = probes.select(F.struct("*").alias("p"), F.col(key).alias("k"), F.unix_micros("at").alias("t"), F.lit(1).alias("kind"), none.alias("q"))
-    q = quotes.select(F.lit(None).cast(p.schema["p"].dataType).alias("p"), F.col(key).alias("k"), F.unix_micros("at").alias("t"), F.lit(0).alias("kind"), F.struct(F.unix_micros("at").alias("t"), F.col("price").cast("double").alias("price")).alias("q"))
-    w = Window.partitionBy("k").orderBy("t", "kind")
-    both = p.unionByName(q).withColumn("a", F.last("q", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("q", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    micros = F.unix_micros("at")
+    p = probes.select(F.struct("*").alias("p"), F.col(key).alias("k"), "at", micros.alias("t"), F.lit(1).alias("kind"), none.alias("q"))
+    q = quotes.select(F.lit(None).cast(p.schema["p"].dataType).alias("p"), F.col(key).alias("k"), "at", micros.alias("t"), F.lit(0).alias("kind"), F.struct(micros.alias("t"), F.col("price").cast("double").alias("price")).alias("q"))
+    w = Window.partitionBy("__g").orderBy("t", "kind", "q.price")
+    a, b = F.last("q", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("q", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # A probe comes after the quotes of its own instant, so those are looked up among the ones before.
+    own = p.unionByName(q).withColumn("__g", _group(["k"], "at", slice_hours)).withColumns({"a": a, "b": b})
+    both = _carried(own, ["k"], {"lo": F.min("q"), "hi": F.max("q")}, {"a0": ("hi", "last"), "b0": ("lo", "first")})
+    return both.where("kind = 1").select("p", "t", F.coalesce("a", "a0").alias("a"), F.coalesce("b", "b0").alias("b"))
+
+
+def nearest_price(probes: DataFrame, quotes: DataFrame, key: str = "wallet", max_stale_hours: float | None = None, fallback: Column | None = None, slice_hours: float = 24) -> DataFrame:
+    """``probes`` (key, at, ...) with the quote nearest in time, before or after; of equal gaps, the earlier.
+
+    A price of zero, or beyond the limit, falls through to ``fallback``.
+    """
+    both = _between(probes, quotes, key, slice_hours)
     gap_a, gap_b = F.col("t") - F.col("a.t"), F.col("b.t") - F.col("t")
-    hit = F.when(F.col("b").isNull() | (gap_a <= gap_b), F.col("a")).otherwise(F.col("b"))
-    found = both.where("kind = 1").withColumn("hit", hit)
+    found = both.withColumn("hit", F.when(F.col("b").isNull() | (gap_a <= gap_b), F.col("a")).otherwise(F.col("b")))
     price = F.col("hit.price")
     if max_stale_hours is not None:
         price = F.when(F.abs(F.col("hit.t") - F.col("t")) <= int(max_stale_hours * HOUR), price)
@@ -77,30 +108,28 @@ def nearest_price(probes: DataFrame, quotes: DataFrame, key: str = "wallet", max
     return found.select("p.*", F.coalesce(price, fallback if fallback is not None else F.lit(None)).cast("double").alias("price"))
 
 
-def interpolated(probes: DataFrame, points: DataFrame, key: str = "wallet") -> DataFrame:
+def interpolated(probes: DataFrame, points: DataFrame, key: str = "wallet", slice_hours: float = 24) -> DataFrame:
     """Linear interpolation between the points around each probe, held at the ends."""
-    none = F.lit(None).cast("struct<t:bigint,price:double>")
-    p = probes.select(F.struct("*").alias("p"), F.col(key).alias("k"), F.unix_micros("at").alias("t"), F.lit(1).alias("kind"), none.alias("q"))
-    q = points.select(F.lit(None).cast(p.schema["p"].dataType).alias("p"), F.col(key).alias("k"), F.unix_micros("at").alias("t"), F.lit(0).alias("kind"), F.struct(F.unix_micros("at").alias("t"), F.col("price").cast("double").alias("price")).alias("q"))
-    w = Window.partitionBy("k").orderBy("t", "kind")
-    both = p.unionByName(q).withColumn("a", F.last("q", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("q", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     share = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
     value = F.when(F.col("a").isNull(), F.col("b.price")).when(F.col("b").isNull() | (F.col("b.t") == F.col("a.t")), F.col("a.price")).otherwise(F.col("a.price") + (F.col("b.price") - F.col("a.price")) * share)
-    return both.where("kind = 1").select("p.*", value.alias("price"))
+    return _between(probes, points, key, slice_hours).select("p.*", value.alias("price"))
 
 
-def balances(probes: DataFrame, moves: DataFrame, current: DataFrame | None = None) -> DataFrame:
+def balances(probes: DataFrame, moves: DataFrame, current: DataFrame | None = None, slice_hours: float = 24) -> DataFrame:
     """``probes`` (wallet, at, ...) with the balance then: the current one less all later movements, not under zero.
 
     ``current`` has wallet and balance, by default the sum of all movements, at least 0. A wallet that holds nothing now
-    but had movements in is summed forwards instead. One running sum per wallet, no range join.
+    but had movements in is summed forwards instead. A running sum per wallet and slice of time goes on from the sums of
+    the slices before; no range join.
     """
     totals = moves.groupBy("wallet").agg(F.sum("amount").alias("total"), F.count_if(F.col("amount") > 0).alias("ins"))
     held = current.select("wallet", "balance") if current is not None else totals.select("wallet", F.greatest("total", F.lit(0.0)).alias("balance"))
     p = probes.select(F.struct("*").alias("p"), "wallet", "at", F.lit(1).alias("kind"), F.lit(0.0).alias("amount"))
     m = moves.select(F.lit(None).cast(p.schema["p"].dataType).alias("p"), "wallet", "at", F.lit(0).alias("kind"), "amount")
-    w = Window.partitionBy("wallet").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    run = p.unionByName(m).withColumn("run", F.sum("amount").over(w)).where("kind = 1")
+    w = Window.partitionBy("__g").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    own = p.unionByName(m).withColumn("__g", _group(["wallet"], "at", slice_hours)).withColumn("part", F.sum("amount").over(w))
+    both = _carried(own, ["wallet"], {"whole": F.sum("amount")}, {"before": ("whole", "sum")}).where("kind = 1")
+    run = both.withColumn("run", F.coalesce("before", F.lit(0.0)) + F.coalesce("part", F.lit(0.0)))
     j = run.join(totals, "wallet", "left").join(held, "wallet", "left")
     now = F.coalesce("balance", F.lit(0.0))
     back = now - (F.coalesce("total", F.lit(0.0)) - F.col("run"))
@@ -119,11 +148,16 @@ def peaks(points: DataFrame, keys: list[str], at: str = "at", value: str = "valu
     return points.groupBy(*keys).agg(F.min_by(F.struct(at, value), F.struct((-F.col(value)).alias("v"), at)).alias("x")).select(*keys, "x.*")
 
 
-def changes(points: DataFrame, keys: list[str], at: str = "at", value: str = "value", ordinal: str | None = None) -> DataFrame:
+def changes(points: DataFrame, keys: list[str], at: str = "at", value: str = "value", ordinal: str | None = None, slice_hours: float = 24) -> DataFrame:
     """Percent change to the point before, over at least 1; 0 for the first."""
-    w = Window.partitionBy(*keys).orderBy(at, *([ordinal] if ordinal else []))
-    before = F.lag(value).over(w)
-    return points.withColumn("change_pct", F.coalesce((F.col(value) - before) / F.greatest(F.lit(1.0), before) * 100, F.lit(0.0)))
+    order = [at, *([ordinal] if ordinal else [])]
+    point = F.struct(F.col(value).alias("v"))  # a struct, so that a null value is a point too
+    near = F.lag(point).over(Window.partitionBy("__g").orderBy(*order))
+    own = points.withColumn("__g", _group(keys, at, slice_hours)).withColumn("__near", near)
+    known = _carried(own, keys, {"end": F.max_by(point, F.struct(*order))}, {"__far": ("end", "last")})
+    before = F.coalesce("__near", "__far")["v"]
+    change = F.coalesce((F.col(value) - before) / F.greatest(F.lit(1.0), before) * 100, F.lit(0.0))
+    return known.withColumn("change_pct", change).drop("__near", "__far")
 
 
 def range_result(points: DataFrame, keys: list[str], at: str = "at", value: str = "value") -> DataFrame:
@@ -142,16 +176,21 @@ def extremes(points: DataFrame, keys: list[str], at: str = "at", value: str = "v
 
 
 def pin_last(points: DataFrame, keys: list[str], current: Column, at: str = "at", value: str = "value") -> DataFrame:
-    """The last point of each series set to the current value."""
-    w = Window.partitionBy(*keys).orderBy(F.col(at).desc())
-    return points.withColumn("__r", F.row_number().over(w)).withColumn(value, F.when(F.col("__r") == 1, current).otherwise(F.col(value))).drop("__r")
+    """The last point of each series set to the current value; of several at that instant, one."""
+    whole = F.struct(*keys)  # as a struct, nulls are equal to nulls
+    ends = points.groupBy(whole.alias("__g")).agg(F.max(at).alias("__end"))
+    known = points.withColumn("__g", whole).join(ends, "__g").drop("__g")
+    # Only points of one instant are numbered together.
+    first = F.row_number().over(Window.partitionBy(*keys, at).orderBy(F.col(value).desc())) == 1
+    pinned = F.when(F.col("__first") & F.col(at).eqNullSafe(F.col("__end")), current).otherwise(F.col(value))
+    return known.withColumn("__first", first).withColumn(value, pinned).drop("__end", "__first")
 
 
 def day_headers(rows: DataFrame, keys: list[str], at: str = "at", ordinal: str = "event_id") -> DataFrame:
-    """The day of each row that is the first of its day in newest-first order, else null."""
-    w = Window.partitionBy(*keys).orderBy(F.col(at).desc(), F.col(ordinal).desc())
+    """The day of each row that is the first of its day in newest-first order, else null; ordered within days only."""
     day = F.to_date(at)
-    return rows.withColumn("header", F.when(~F.lag(day).over(w).eqNullSafe(day), day))
+    w = Window.partitionBy(*keys, day).orderBy(F.col(at).desc(), F.col(ordinal).desc())
+    return rows.withColumn("header", F.when(F.row_number().over(w) == 1, day))
 
 
 def best_source(points: DataFrame, keys: list[str], rank: str = "source_rank") -> DataFrame:
