@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import addresses, numbers, payload, text
+from tidemark.operators import details as D
 from tidemark.operators import holdings as H
 from tidemark.operators import registry as R
 from tidemark.operators import series as T
@@ -207,6 +208,22 @@ def test_series_go_on_over_slices_of_time(spark):
     assert [x[1] for x in points if pinned.get(x[2]) == -1.0] == [ends]
 
 
+def test_floor_from_sales_merges_close_points(spark):
+    now = T0 + dt.timedelta(days=3)
+    sale = lambda key, ms_before, price: (key, now - dt.timedelta(milliseconds=ms_before), price)
+    sales = spark.createDataFrame([sale("a", 500, 4.0), sale("a", 86_400_000, 9.0), sale("a", 86_400_001, 8.0), sale("b", 5000, 3.0), sale("c", 400, 2.0), sale("d", 9 * 86_400_000, 1.0)], "k string, sold_at timestamp, price double")
+    floors = spark.createDataFrame([("a", 6.0), ("b", 0.0), ("c", 7.0), ("d", 5.0)], "k string, floor double")
+    got = sorted((r.k, r.at, r.price) for r in D.floor_from_sales(sales, floors, ["k"], F.lit(now)).collect())
+    # The sale half a second ago, its day's cheapest, keeps its time and takes the floor's price; series of one point go.
+    assert got == [("a", now - dt.timedelta(milliseconds=86_400_001), 8.0), ("a", now - dt.timedelta(milliseconds=500), 6.0)]
+
+
+def test_mentions_of_tokens(spark):
+    cases = [("got 5 Ton", "", "", "TON", "x", True), ("Tonic", "", "", "TON", "Tonic", False), ("a.b*!", "", "", "b*", "", True), ("abc", "", "", "b", "", False), ("my Big Coin", "", "", "", "big coin", True), ("big", "", "", "", "big", False), ("", '["EQx"]', "eqX", "", "", True), (None, None, None, None, None, False)]
+    df = spark.createDataFrame(cases, "said string, adr string, address string, symbol string, name string, want boolean")
+    assert [r.got for r in df.select("*", D.mentions_token(*(F.col(c) for c in df.columns[:5])).alias("got")).collect()] == [c[-1] for c in cases]
+
+
 def test_quality_rules(spark):
     rows = [("blacklist", "A", "A", 1.0, 0.0, True, 1e6, 1e6, 99), ("none", "Unknown Jetton", "A", 1.0, 0.0, True, 1e6, 1e6, 99), ("none", "A", "A", 500.0, 0.0, False, 0.0, 0.0, 0), ("none", "A", "A", 500.0, None, True, 60.0, 1.0, 1), ("none", "A", "A", 60000.0, 5.0, True, 100.0, 1e6, 99), ("whitelist", "A", "A", 60000.0, 5.0, True, 0.0, 0.0, 0), ("none", "A", "A", 50.0, 0.0, True, 60.0, 1.0, 1), ("none", "A", "A", 50.0, 0.0, False, 0.0, 0.0, 0)]
     df = spark.createDataFrame([(i, *r, 1.0) for i, r in enumerate(rows)], "id int, verification string, name string, symbol string, value double, change double, market_backed boolean, liquidity double, volume double, trades int, price double")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, payload, text
+from tidemark.operators import details as D
 from tidemark.operators import holdings as H
 from tidemark.operators import registry as R
 from tidemark.operators import sales as S
@@ -752,6 +753,93 @@ def labels_and_escapes(spark, d):
     return src.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("model"), text.escape_html(F.concat(F.lit("<b>"), n, F.lit("</b>"))).alias("html"), text.short_address(n).alias("short"))
 
 
+# Details
+
+
+@query("""WITH cur AS (SELECT o_custkey AS wallet, o_orderkey % 7 AS token, 'C' || (o_orderkey % 7) AS symbol, sum(o_totalprice) AS balance FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL),
+m AS (SELECT o_custkey AS wallet, o_orderkey % 7 AS token, arg_min('C' || (o_orderkey % 7), o_orderdate) AS symbol FROM orders GROUP BY ALL)
+SELECT wallet, token, symbol, round(balance, 2) AS balance FROM cur UNION ALL SELECT wallet, token, symbol, 0 FROM m ANTI JOIN cur USING (wallet, token)""")
+def ledger_tokens(spark, d):
+    k = F.col("o_orderkey")
+    moves = src.table(spark, d, "orders").select(k, F.col("o_custkey").alias("wallet"), (k % 7).alias("token"), F.concat(F.lit("C"), k % 7).alias("symbol"), F.col("o_orderdate").alias("at"), "o_totalprice")
+    current = moves.where("o_orderkey % 3 = 0").groupBy("wallet", "token", "symbol").agg(F.sum("o_totalprice").alias("balance"))
+    return D.with_ledger_tokens(current, moves, ["wallet"]).withColumn("balance", F.round("balance", 2))
+
+
+@query("SELECT user_id AS wallet, event_id % 5 AS asset, arg_max('shop' || (event_id % 7), row(ts, event_id)) AS source, max(ts) AS received_at FROM events WHERE event_type = 'purchase' GROUP BY ALL")
+def last_inbound(spark, d):
+    e = src.table(spark, d, "events").withColumn("wallet", F.col("user_id"))
+    moves = e.select("wallet", (F.col("event_id") % 5).alias("asset"), F.concat(F.lit("shop"), F.col("event_id") % 7).alias("source"), F.when(F.col("event_type") == "purchase", F.col("wallet")).otherwise(-1).alias("destination"), F.col("ts").alias("at"), "event_id")
+    return D.last_inbound(moves)
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS request_id, row(l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS o, l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' extra' ELSE 'something else' END AS title,
+  p_name, l_orderkey % 2 = 0 AS m, l_suppkey % 4 = 1 AS b, l_returnflag = 'R' AS s FROM lineitem JOIN part ON l_partkey = p_partkey),
+a AS (SELECT *, {SQL_ALIAS.format('title')} AS ta, {SQL_ALIAS.format('p_name')} AS na FROM c),
+x AS (SELECT *, CASE WHEN ta = na THEN 5 WHEN contains(ta, na) OR contains(na, ta) THEN 3 ELSE 0 END + CASE WHEN m THEN 3 ELSE 0 END + CASE WHEN b THEN 2 ELSE 0 END + CASE WHEN s THEN 1 ELSE 0 END AS score FROM a)
+SELECT request_id, arg_min(l_orderkey, row(-score, o)) AS found, arg_min(title, row(-score, o)) AS title, max(score) AS score FROM x GROUP BY 1""")
+def best_scored(spark, d):
+    line, n = src.table(spark, d, "lineitem"), F.col("p_name")
+    requests = src.table(spark, d, "part").select(F.col("p_partkey").alias("request_id"), F.array(n).alias("aliases"), F.col("p_type").alias("model"), F.lit("S1").alias("backdrop"), F.lit("R").alias("symbol"))
+    titles = F.when(F.col("l_linenumber") % 3 == 0, n).when(F.col("l_linenumber") % 3 == 1, F.concat(n, F.lit(" extra"))).otherwise("something else")
+    rows = line.join(src.table(spark, d, "part"), line.l_partkey == F.col("p_partkey")).select(F.col("p_partkey").alias("request_id"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("ord"), titles.alias("title"), F.when(F.col("l_orderkey") % 2 == 0, F.col("p_type")).otherwise("?").alias("row_model"), F.concat(F.lit("S"), F.col("l_suppkey") % 4).alias("row_backdrop"), F.col("l_returnflag").alias("row_symbol"))
+    return D.best_scored(requests, rows).select("request_id", F.col("ord.l_orderkey").alias("found"), "title", "score")
+
+
+@query(f"""WITH {SALES}, days AS (SELECT collection, model, arg_min(sold_at, row(price, sold_at)) AS at, min(price) AS price FROM sales WHERE price > 0 AND sold_at >= TIMESTAMP '1998-05-02' AND sold_at <= TIMESTAMP '1998-06-01' GROUP BY collection, model, CAST(sold_at AS DATE)),
+floors AS (SELECT collection, model, min(price) AS floor FROM listings WHERE price > 0 GROUP BY ALL),
+points AS (SELECT collection, model, at, price FROM days ANTI JOIN (SELECT collection, model, TIMESTAMP '1998-06-01' AS at FROM floors) USING (collection, model, at) UNION ALL SELECT collection, model, TIMESTAMP '1998-06-01', floor FROM floors)
+SELECT collection, model, at, round(price, 4) AS price FROM points QUALIFY count(*) OVER (PARTITION BY collection, model) >= 2""")
+def floor_from_sales(spark, d):
+    keys = ["collection", "model"]
+    found = D.floor_from_sales(src.sales(spark, d), R.combo_floor(src.listings(spark, d), keys), keys, sale_as_of(), 30)
+    return found.select(*keys, F.col("at").cast("timestamp_ntz").alias("at"), r4(F.col("price"), "price"))
+
+
+@query("""WITH stored AS (SELECT o_custkey AS k, arg_max(o_totalprice, row(o_orderdate, o_totalprice)) AS floor, max(o_orderdate) AS at FROM orders GROUP BY 1),
+c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal END AS r, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 END AS l FROM customer),
+j AS (SELECT c.k, CASE WHEN r > 0 THEN r END AS r, CASE WHEN l > 0 THEN l END AS l, floor AS s, epoch_us(TIMESTAMP '1998-06-01') - epoch_us(at) < 4320 * 3600000000 AS fresh FROM c LEFT JOIN stored USING (k))
+SELECT k, CASE WHEN r IS NOT NULL THEN 'registry' WHEN fresh THEN 'stored' WHEN l IS NOT NULL THEN 'live' WHEN s IS NOT NULL THEN 'stale' END AS floor_source, CASE WHEN r IS NOT NULL THEN r WHEN fresh THEN s WHEN l IS NOT NULL THEN l ELSE s END AS floor FROM j""")
+def floor_by_freshness(spark, d):
+    c, k = src.table(spark, d, "customer"), F.col("c_custkey").alias("k")
+    stored = src.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("floor"), F.col("o_orderdate").cast("timestamp").alias("sampled_at"))
+    listed, live = c.where("c_custkey % 5 = 0").select(k, F.col("c_acctbal").alias("floor")), c.where("c_custkey % 2 = 0").select(k, (F.col("c_acctbal") + 1).alias("floor"))
+    return D.floor_by_freshness(c.select(k), listed, stored, live, ["k"], sale_as_of(), 4320)
+
+
+@query("WITH s AS (SELECT o_custkey, o_orderkey % 3 AS version, max(o_orderdate) AS at FROM orders GROUP BY ALL) SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM s WHERE version = 1 AND epoch_us(TIMESTAMP '1998-06-01') - epoch_us(at) <= 9600 * 3600000000)")
+def collections_to_scan(spark, d):
+    seen = src.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 3).alias("version")).agg(F.max(F.col("o_orderdate").cast("timestamp")).alias("snapshot_at"))
+    return D.to_scan(src.table(spark, d, "customer").select(F.col("c_custkey").alias("k")), seen, "k", 1, sale_as_of(), 9600)
+
+
+@query(f"WITH {LEDGER} SELECT wallet, round(coalesce(sum(amount) FILTER (WHERE at > TIMESTAMP '2024-01-15' AND at <= TIMESTAMP '2024-01-25'), 0), 4) AS change FROM ledger GROUP BY 1")
+def balance_change(spark, d):
+    return D.balance_change(src.ledger(spark, d), as_of() - F.expr("interval 10 days"), as_of()).withColumn("change", F.round("change", 4))
+
+
+@query(f"""WITH {QUOTES}, grid AS (SELECT unnest(range(0, 5)) AS bucket), h AS (SELECT DISTINCT user_id AS wallet, user_id % 9 AS balance, user_id % 4 AS token_value FROM events),
+p AS (SELECT wallet, bucket, balance, token_value, TIMESTAMP '2024-01-20' + INTERVAL (bucket) DAY AS at FROM h, grid),
+n AS (SELECT p.wallet, bucket, p.at, balance, token_value, arg_min(price, row(abs(epoch_us(q.at) - epoch_us(p.at)), q.at)) AS price, min(abs(epoch_us(q.at) - epoch_us(p.at))) AS gap FROM p LEFT JOIN quotes q USING (wallet) GROUP BY ALL)
+SELECT wallet, bucket, at, round(balance * CASE WHEN gap <= 12 * 3600000000 AND price <> 0 THEN price ELSE 3.12 END + token_value, 4) AS value FROM n""")
+def held_value_history(spark, d):
+    held = src.table(spark, d, "events").select(F.col("user_id").alias("wallet"), (F.col("user_id") % 9).alias("balance"), (F.col("user_id") % 4).alias("token_value")).distinct()
+    day = F.expr("timestamp '2024-01-20 00:00:00' + make_dt_interval(cast(id as int))")
+    grid = spark.range(5).select(F.col("id").alias("bucket"), day.alias("at"))
+    found = D.held_value_history(grid, held, src.quotes(spark, d), F.lit(3.12), 12)
+    return found.select("wallet", "bucket", F.col("at").cast("timestamp_ntz").alias("at"), r4(F.col("value"), "value"))
+
+
+@query("""WITH e AS (SELECT event_id, event_type || ' c' || (user_id % 11) || ' now' AS said, 'A' || (user_id % 7) || 'z' AS adr, 'a' || (event_id % 5) || 'z' AS address, CASE WHEN event_id % 10 = 0 THEN 'TON' ELSE 'C' || (event_id % 11) END AS symbol, CASE WHEN event_id % 2 = 0 THEN 'Click' ELSE 'now' END AS name FROM events)
+SELECT event_id, CASE WHEN contains(lower(adr), address) THEN true WHEN symbol = 'TON' THEN false ELSE regexp_matches(said, '(^|[^A-Za-z0-9])' || symbol || '([^A-Za-z0-9]|$)', 'i') OR (length(name) > 3 AND regexp_matches(said, '(^|[^A-Za-z0-9])' || name || '([^A-Za-z0-9]|$)', 'i')) END AS mentioned FROM e""")
+def mentions_token(spark, d):
+    k, u = F.col("event_id"), F.col("user_id")
+    said = F.concat("event_type", F.lit(" c"), u % 11, F.lit(" now"))
+    symbol, name = F.when(k % 10 == 0, "TON").otherwise(F.concat(F.lit("C"), k % 11)), F.when(k % 2 == 0, "Click").otherwise("now")
+    found = D.mentions_token(said, F.concat(F.lit("A"), u % 7, F.lit("z")), F.concat(F.lit("a"), k % 5, F.lit("z")), symbol, name)
+    return src.table(spark, d, "events").select("event_id", found.alias("mentioned"))
+
+
 # Extensions without a counterpart in the model application
 
 
