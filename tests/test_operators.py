@@ -109,6 +109,21 @@ def test_fold(spark, seed):
         assert sorted((r.sampled_at, r.floor) for r in got.where(F.col("k") == k).collect()) == want[k]
 
 
+def test_fold_over_slices_of_time(spark):
+    rng = random.Random(8)  # long runs of equal values, many changes within minutes, gaps of days
+    t, rows = T0, []
+    for i in range(600):
+        t += dt.timedelta(minutes=rng.choice([1, 7, 19, 20, 200, 1379, 1380, 4000]))
+        rows.append(("k", t, float(rng.choice([1, 1, 1, 2])), i))
+    df = spark.createDataFrame(rows, "k string, sampled_at timestamp, floor double, event_id long")
+    for hours in (1, 24, 1000):
+        got = [(r.sampled_at, r.floor) for r in N.fold(df, ["k"], slice_hours=hours).collect()]
+        assert sorted(got) == plain_fold([(t, v) for _, t, v, _ in rows])
+    soon = dt.timedelta(minutes=N.OVERWRITE_MINUTES)
+    stay = [r[1] for r, s in zip(rows, [*rows[1:], None], strict=True) if s is None or s[1] - r[1] >= soon]
+    assert sorted(r.sampled_at for r in N.fold(df, ["k"], suppress=False).collect()) == stay
+
+
 def test_fold_stream_agrees_with_batch(spark, tmp_path):
     rows = sample_rows(3, 120)
     schema = "k string, sampled_at timestamp, floor double, event_id long"

@@ -41,13 +41,13 @@ def monthly_grid(one: DataFrame, now: Column, months: int = 13, step_hours: int
     return base.select("bucket", F.explode(times).alias("at"))
 
 
-def _group(keys: list[str], at: str, hours: float) -> Column:
+def slice_of(keys: list[str], at: str, hours: float) -> Column:
     """Keys and the number of the stretch of time that ``at`` lies in, as a struct: as such, nulls are equal to nulls."""
     return F.struct(*keys, F.floor(F.unix_micros(F.col(at).cast("timestamp")) / int(hours * HOUR)).alias("__s"))
 
 
-def _carried(rows: DataFrame, keys: list[str], aggs: dict[str, Column], given: dict[str, tuple[str, str]]) -> DataFrame:
-    """``rows`` with what other slices of the same key hand over; ``rows`` has its ``_group`` as __g, which is dropped.
+def carried(rows: DataFrame, keys: list[str], aggs: dict[str, Column], given: dict[str, tuple[str, str]]) -> DataFrame:
+    """``rows`` with what other slices of the same key hand over; ``rows`` has its ``slice_of`` as __g, which is dropped.
 
     ``aggs`` sums up a slice; ``given`` names, for each added column, one of them and how it comes over: the ``sum`` or
     ``last`` of the slices before, or the ``first`` of those after. Only summaries of slices, a row each, are laid out by
@@ -88,8 +88,8 @@ def _between(probes: DataFrame, quotes: DataFrame, key: str, slice_hours: float)
     w = Window.partitionBy("__g").orderBy("t", "kind", "q.price")
     a, b = F.last("q", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("q", True).over(w.rowsBetween(0, Window.unboundedFollowing))
     # A probe comes after the quotes of its own instant, so those are looked up among the ones before.
-    own = p.unionByName(q).withColumn("__g", _group(["k"], "at", slice_hours)).withColumns({"a": a, "b": b})
-    both = _carried(own, ["k"], {"lo": F.min("q"), "hi": F.max("q")}, {"a0": ("hi", "last"), "b0": ("lo", "first")})
+    own = p.unionByName(q).withColumn("__g", slice_of(["k"], "at", slice_hours)).withColumns({"a": a, "b": b})
+    both = carried(own, ["k"], {"lo": F.min("q"), "hi": F.max("q")}, {"a0": ("hi", "last"), "b0": ("lo", "first")})
     return both.where("kind = 1").select("p", "t", F.coalesce("a", "a0").alias("a"), F.coalesce("b", "b0").alias("b"))
 
 
@@ -127,8 +127,8 @@ def balances(probes: DataFrame, moves: DataFrame, current: DataFrame | None = No
     p = probes.select(F.struct("*").alias("p"), "wallet", "at", F.lit(1).alias("kind"), F.lit(0.0).alias("amount"))
     m = moves.select(F.lit(None).cast(p.schema["p"].dataType).alias("p"), "wallet", "at", F.lit(0).alias("kind"), "amount")
     w = Window.partitionBy("__g").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    own = p.unionByName(m).withColumn("__g", _group(["wallet"], "at", slice_hours)).withColumn("part", F.sum("amount").over(w))
-    both = _carried(own, ["wallet"], {"whole": F.sum("amount")}, {"before": ("whole", "sum")}).where("kind = 1")
+    own = p.unionByName(m).withColumn("__g", slice_of(["wallet"], "at", slice_hours)).withColumn("part", F.sum("amount").over(w))
+    both = carried(own, ["wallet"], {"whole": F.sum("amount")}, {"before": ("whole", "sum")}).where("kind = 1")
     run = both.withColumn("run", F.coalesce("before", F.lit(0.0)) + F.coalesce("part", F.lit(0.0)))
     j = run.join(totals, "wallet", "left").join(held, "wallet", "left")
     now = F.coalesce("balance", F.lit(0.0))
@@ -153,8 +153,8 @@ def changes(points: DataFrame, keys: list[str], at: str = "at", value: str = "va
     order = [at, *([ordinal] if ordinal else [])]
     point = F.struct(F.col(value).alias("v"))  # a struct, so that a null value is a point too
     near = F.lag(point).over(Window.partitionBy("__g").orderBy(*order))
-    own = points.withColumn("__g", _group(keys, at, slice_hours)).withColumn("__near", near)
-    known = _carried(own, keys, {"end": F.max_by(point, F.struct(*order))}, {"__far": ("end", "last")})
+    own = points.withColumn("__g", slice_of(keys, at, slice_hours)).withColumn("__near", near)
+    known = carried(own, keys, {"end": F.max_by(point, F.struct(*order))}, {"__far": ("end", "last")})
     before = F.coalesce("__near", "__far")["v"]
     change = F.coalesce((F.col(value) - before) / F.greatest(F.lit(1.0), before) * 100, F.lit(0.0))
     return known.withColumn("change_pct", change).drop("__near", "__far")
