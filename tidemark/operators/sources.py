@@ -42,6 +42,11 @@ def plausible_floor(usd: Column, native: Column, most_usd: float = 10_000.0, mos
     return (u <= most_usd) & (n <= most_native) & ((u > 0) | (n > 0))
 
 
+def plausible_price(price: Column, provider: Column, low: float = 0.2, high: float = 5.0) -> Column:
+    """Whether a price is within a ratio of the provider's own; true where either is missing or not positive."""
+    return F.when((price > 0) & (provider > 0), F.try_divide(price, provider).between(low, high)).otherwise(True)
+
+
 def demand(change: Column, threshold: float = 20.0) -> Column:
     return F.when(change >= threshold, "rising").when(change <= -threshold, "falling").otherwise("steady")
 

@@ -741,10 +741,10 @@ def cycle_progress(spark, d):
     return O.progress(src.table(spark, d, "orders").withColumnRenamed("o_orderpriority", "cycle"), F.col("o_orderstatus") == "F", ["cycle"])
 
 
-@query("SELECT p_partkey AS id, p_retailprice <= 1500 AND p_size <= 30 AND (p_retailprice > 0 OR p_size > 0) AS plausible, CASE WHEN p_size - 25 >= 20 THEN 'rising' WHEN p_size - 25 <= -20 THEN 'falling' ELSE 'steady' END AS demand, abs(p_retailprice - 1200) / 1200 <= 0.35 AS agrees FROM part")
+@query("SELECT p_partkey AS id, p_retailprice <= 1500 AND p_size <= 30 AND (p_retailprice > 0 OR p_size > 0) AS plausible, CASE WHEN p_size - 25 >= 20 THEN 'rising' WHEN p_size - 25 <= -20 THEN 'falling' ELSE 'steady' END AS demand, abs(p_retailprice - 1200) / 1200 <= 0.35 AS agrees, p_size = 1 OR p_retailprice / ((p_size - 1) * 60) BETWEEN 0.5 AND 1.5 AS price_plausible FROM part")
 def floor_checks(spark, d):
     p, size = F.col("p_retailprice"), F.col("p_size").cast("double")
-    return src.table(spark, d, "part").select(F.col("p_partkey").alias("id"), O.plausible_floor(p, size, 1500.0, 30.0).alias("plausible"), O.demand(size - 25).alias("demand"), O.agrees(p, F.lit(1200.0)).alias("agrees"))
+    return src.table(spark, d, "part").select(F.col("p_partkey").alias("id"), O.plausible_floor(p, size, 1500.0, 30.0).alias("plausible"), O.demand(size - 25).alias("demand"), O.agrees(p, F.lit(1200.0)).alias("agrees"), O.plausible_price(p, (size - 1) * 60, 0.5, 1.5).alias("price_plausible"))
 
 
 @query("SELECT p_partkey AS id, p_type AS model, regexp_replace(replace(replace(replace('<b>' || p_name || '</b>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), 'zzz', '') AS html, CASE WHEN length(p_name) > 12 THEN left(p_name, 6) || '...' || right(p_name, 4) ELSE p_name END AS short FROM part")
