@@ -2,12 +2,15 @@
 
 The battery takes each candidate token, infers its encoding, and measures how evenly it uses the alphabet (chi-squared),
 how often it crosses the alphabet's middle (runs) and how its neighbours correlate. A token is taken for a secret where
-none of the three rejects randomness and its evenness is too great for text; the p-values of the latter are held to a
-false-discovery rate within each class of lengths, over all documents.
+none of the three rejects randomness and it is too unlikely as text: p is the likelihood ratio of a text model to the
+encoding's uniform one. These p-values are held to a false-discovery rate within each class of lengths, over the distinct
+tokens of all documents.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,13 +21,22 @@ HEX = r"[0-9a-f]{24,}"
 #: Candidates of the battery.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Encodings in order of inference: pattern, alphabet (lower case counts as upper case in hex and base32), and the sums of
-#: squares and of cubes of symbol shares that text-like strings would have in it (in hex, those of decimal numbers).
+#: Encodings in order of inference: pattern and alphabet (letters of one case count as upper case in all but base64).
 ENCODINGS = {
-    "hex": (r"^[0-9a-fA-F]+$", "0123456789ABCDEF", 0.10, 0.0105),
-    "base32": (r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066, 0.0057),
-    "base64": (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.062, 0.0050),
+    "hex": (r"^[0-9a-fA-F]+$", "0123456789ABCDEF"),
+    "base32": (r"^([A-Z2-7]+|[a-z2-7]+)=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    "base36": (r"^([A-Z0-9]+|[a-z0-9]+)=*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    "base64": (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 }
+#: The text model: chances of the class of the first character and of each next one (lower, upper, digit, other), and
+#: shares of letters in percent, mixed with even ones; digits and others are even within their class.
+CLASSES = "LUDS"
+FIRST = (0.50, 0.25, 0.20, 0.05)
+NEXT = ((0.90, 0.02, 0.03, 0.05), (0.45, 0.43, 0.06, 0.06), (0.12, 0.06, 0.70, 0.12), (0.62, 0.14, 0.18, 0.06))
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.2, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.2, 2.0, 0.1), strict=True))
+EVEN = 0.2
+#: The encoding is chosen after the token is seen: as many alphabets, counting cases apart, share a chance of one.
+CHOICES = 8
 MARK = "[SECRET]"
 _BINS = 400
 
@@ -48,13 +60,32 @@ def located(text: Column, pattern: str, kind: int) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(rows, empty, step)).otherwise(empty)
 
 
-def _normal_cdf(z: Column) -> Column:
-    """Normal distribution function, by its logistic approximation."""
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(z * 1.5976 + z * z * z * 0.070566)))
-
-
-def battery(token: Column, alphabet: str, squares: float, cubes: float, fold: bool) -> Column:
-    """(z_even, z_runs, z_serial, p_text) of a token over an alphabet."""
+def text_surprise(token: Column) -> Column:
+    """Minus the logarithm of a token's chance under the text model, over its length without padding."""
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = F.translate(token, lower + upper + "0123456789+/=_-", "L" * 26 + "U" * 26 + "D" * 10 + "S" * 5)
+    count = lambda s, x: ((F.length(s) - F.length(F.replace(s, F.lit(x)))) / len(x)).cast("double")
+    total = F.lit(0.0)
+    for i, a in enumerate(CLASSES):
+        n = count(kinds, a)
+        stay = n - F.when(kinds.endswith(a), 1.0).otherwise(0.0)
+        for j, b in enumerate(CLASSES):
+            if a != b:  # such pairs can't overlap; the pairs within a class are what is left
+                pairs = count(kinds, a + b)
+                total, stay = total - pairs * math.log(NEXT[i][j]), stay - pairs
+        total = total - stay * math.log(NEXT[i][i]) - F.when(kinds.startswith(a), math.log(FIRST[i])).otherwise(0.0)
+        total = total + n * {"D": math.log(10), "S": math.log(5)}.get(a, 0.0)
+    plain = F.lower(token)
+    for c, share in LETTERS.items():
+        total = total - count(plain, c) * math.log((1 - EVEN) * share / 100 + EVEN / 26)
+    return total
+
+
+def battery(token: Column, alphabet: str, fold: bool) -> Column:
+    """(z_even, z_runs, z_serial, p_text) of a token over an alphabet.
+
+    p_text is valid for tokens of the text model, as the mean of the likelihood ratio is one there (Markov's inequality).
+    """
     m = len(alphabet)
     plain = F.translate(F.upper(token) if fold else token, "=-_", "+/" if not fold else "")
     n = F.length(plain).cast("double")
@@ -73,33 +104,35 @@ def battery(token: Column, alphabet: str, squares: float, cubes: float, fold: bo
     mean, spread = (m - 1) / 2.0, (m * m - 1) / 12.0
     cross = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
     z_serial = cross / (F.sqrt(n - 1) * spread)
-    text_mean = (n * (n - 1) * squares + n) * m / n - n
-    text_sd = F.sqrt(2 * n * (n - 1) * (squares + 2 * (n - 2) * cubes - (2 * n - 3) * squares * squares)) * m / n
-    return F.struct(z_even.alias("z_even"), z_runs.alias("z_runs"), z_serial.alias("z_serial"), _normal_cdf((even - text_mean) / text_sd).alias("p_text"))
+    bare = F.regexp_replace(token, "=+$", "")
+    ratio = text_surprise(bare) - F.length(bare) * math.log(m) - math.log(CHOICES)
+    return F.struct(z_even.alias("z_even"), z_runs.alias("z_runs"), z_serial.alias("z_serial"), F.exp(-F.greatest(ratio, F.lit(0.0))).alias("p_text"))
 
 
-def _candidates(text: Column, reject_z: float) -> Column:
-    """Tokens that pass the battery: array of (start, kind, end, stratum, bin); bin is ten times -log10 of p, rounded down."""
+def _judged(token: Column, reject_z: float) -> Column:
+    """(stratum, bin) of a token; bin is ten times -log10 of p, rounded down, and 0 where the battery rejects randomness."""
+    b = None
+    for name, (pattern, alphabet) in reversed(ENCODINGS.items()):
+        tests = battery(token, alphabet, name != "base64")
+        b = tests if b is None else F.when(token.rlike(pattern), tests).otherwise(b)
 
-    def judged(t: Column) -> Column:
-        found = None
-        for name, (pattern, alphabet, squares, cubes) in reversed(ENCODINGS.items()):
-            tests = battery(t["match"], alphabet, squares, cubes, name != "base64")
-            found = tests if found is None else F.when(t["match"].rlike(pattern), tests).otherwise(found)
-        return F.struct(t.alias("t"), found.alias("b"))
+    def placed(b: Column) -> Column:
+        n = F.length(token)
+        passes = (F.abs(b["z_runs"]) <= reject_z) & (F.abs(b["z_serial"]) <= reject_z) & (b["z_even"] <= reject_z)
+        stratum = F.when(n < 32, 0).when(n < 64, 1).when(n < 128, 2).otherwise(3)
+        p = F.when(passes, F.greatest(b["p_text"], F.lit(1e-300))).otherwise(F.lit(1.0))
+        return F.struct(stratum.alias("stratum"), F.least(F.floor(F.log10(p) * -10), F.lit(_BINS)).cast("int").alias("bin"))
 
-    def passes(x: Column) -> Column:
-        b = x["b"]
-        return (F.abs(b["z_runs"]) <= reject_z) & (F.abs(b["z_serial"]) <= reject_z) & (b["z_even"] <= reject_z)
+    return F.element_at(F.transform(F.array(b), placed), 1)
 
-    def placed(x: Column) -> Column:
-        n = F.length(x["t"]["match"])
-        stratum = F.when(n < 32, 0).when(n < 64, 1).when(n < 128, 2).otherwise(3)
-        p = F.when(passes(x), F.greatest(x["b"]["p_text"], F.lit(1e-300))).otherwise(F.lit(1.0))
-        bin_ = F.least(F.floor(F.log10(p) * -10), F.lit(_BINS)).cast("int")
-        return F.struct(x["t"]["start"].alias("start"), F.lit(3).alias("kind"), x["t"]["end"].alias("end"), stratum.alias("stratum"), bin_.alias("bin"))
 
-    return F.transform(F.transform(located(text, TOKEN, 3), judged), placed)
+def _candidates(text: Column, reject_z: float) -> Column:
+    """Tokens with their judgement: array of (start, kind, end, stratum, bin)."""
+
+    def row(x: Column) -> Column:
+        return F.struct(x["t"]["start"].alias("start"), F.lit(3).alias("kind"), x["t"]["end"].alias("end"), x["j"]["stratum"].alias("stratum"), x["j"]["bin"].alias("bin"))
+
+    return F.transform(F.transform(located(text, TOKEN, 3), lambda t: F.struct(t.alias("t"), _judged(t["match"], reject_z).alias("j"))), row)
 
 
 def discovery_bins(candidates: DataFrame, rate: float) -> DataFrame:
@@ -125,14 +158,14 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rate: float = 0.01, re
     """``docs`` with base_spans and spans: arrays of (start, kind, end) by start, then kind; kind is an index into KINDS.
 
     Null texts are empty ones and have none. Whole texts are searched; copies get equal spans. A token that fails a test
-    of randomness at ``reject_z`` is no candidate's discovery but counts in its length class. Columns of these names are
+    of randomness at ``reject_z`` is no candidate's discovery but counts in its length class, as each distinct token does once. Columns of these names are
     replaced; no rows give none.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     short = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     base = docs.drop("base_spans", "spans")
-    tokens = base.where(text.rlike(TOKEN)).select(F.explode(_candidates(text, reject_z)).alias("c")).select("c.stratum", "c.bin")
-    cuts = discovery_bins(tokens, rate)
+    tokens = base.where(text.rlike(TOKEN)).select(F.explode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("t")).distinct()
+    cuts = discovery_bins(tokens.select(_judged(F.col("t"), reject_z).alias("c")).select("c.stratum", "c.bin"), rate)
     assign = F.filter(located(text, ASSIGN, 0), lambda s: F.length(s["value"]) >= 6)
     named = F.array_sort(short(F.concat(assign, located(text, ACCESS, 1), located(text, HEX, 2))))
     random = short(F.filter(_candidates(text, reject_z), lambda c: F.coalesce(c["bin"] >= F.element_at("__cuts", c["stratum"]), F.lit(False))))
