@@ -7,8 +7,9 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,54 +126,67 @@ def sample_dictionary(pages: DataFrame, id_col: str = "page_id", body_col: str =
 def revisits(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """``pages`` with sha1, and refers_to: of rows with equal payloads of at least ``min_bytes``, the largest id, else null.
 
-    Only digests that repeat reach the join, and a hot digest's rows may be split over tasks. Null bodies are empty.
+    Only digests that repeat reach the join, and a hot digest's rows may be split over tasks. Null bodies are empty; columns
+    of these names are replaced.
     """
     body = F.coalesce(F.col(body_col), F.lit(""))
-    keyed = pages.withColumn("sha1", F.sha1(body.cast("binary")))
+    keyed = pages.drop("refers_to").withColumn("sha1", F.sha1(body.cast("binary")))
     same = keyed.where(F.octet_length(body) >= min_bytes).groupBy("sha1").agg(F.max(id_col).alias("refers_to"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     return keyed.join(same, "sha1", "left")
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0, level: int = 3, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write one archive per partition under ``path`` with Spark's own committed writer, on any Hadoop file system.
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0, level: int = 3, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = 32 << 20) -> None:
+    """Write archives of about ``archive_bytes`` under ``path`` with Spark's own committed writer, on any Hadoop file system.
 
+    A task rolls its archives: each is one row of the writer's, and a file of its own; one record may be larger than that.
     Rows equal in id and payload are all responses; a null id is the least; null bodies are empty; no rows, no records.
+    Ids are whole 64-bit integers; other columns of ``pages`` take no part.
     """
     ship(pages.sparkSession)
-    dictionary = sample_dictionary(pages, id_col, body_col)
-    rows = revisits(pages, id_col, body_col, min_bytes).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(body_col).alias("html"), "refers_to")
+    used = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(body_col).alias("html"))
+    dictionary = sample_dictionary(used)
+    rows = revisits(used, min_bytes=min_bytes).select("page_id", "url", "html", "refers_to")
 
-    def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         pack = zstandard.ZstdCompressor(level=level, dict_data=known, write_checksum=True, write_content_size=True)
-        first = [struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary]
-        for pdf in batches:
-            out, first = first, []
-            for page, url, html, refers in zip(pdf["page_id"].astype(object), pdf["url"], pdf["html"], pdf["refers_to"].astype(object), strict=True):
-                page, refers = (None if pd.isna(x) else int(x) for x in (page, refers))
-                payload = (html or "").encode("utf-8", "surrogatepass")
+        head = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
+        parts, held = [head], len(head)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["value"])
+
+        for batch in batches:
+            for page, url, html, refers in zip(*batch.columns, strict=True):
+                page, refers = page.as_py(), refers.as_py()  # never by way of floats
+                payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
                 revisit = refers is not None and refers != page
-                out.append(pack.compress(format_record(page, url, payload, payload_digest(payload), refers, revisit, date)))
-            yield pd.DataFrame({"value": out})
+                parts.append(pack.compress(format_record(page, url.as_py(), payload, payload_digest(payload), refers, revisit, date)))
+                held += len(parts[-1])
+                if held >= archive_bytes:
+                    yield out()
+                    parts, held = [head], len(head)
+        if len(parts) > 1:
+            yield out()
 
-    packed = rows.mapInPandas(archive, "value binary")
-    packed.select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).text(path)
+    packed = rows.mapInArrow(archive, "value binary")
+    packed.select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).text(path)
 
 
-def read_archives(spark, path: str, payloads: bool = False) -> DataFrame:
+def read_archives(spark, path: str, payloads: bool = False, batch_rows: int = 1000) -> DataFrame:
     """Rows (page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) of all archives under ``path``.
 
-    Every record's header, lengths and digests are checked; a wrong one fails the read.
+    Every record's header, lengths and digests are checked; a wrong one fails the read. Rows go out ``batch_rows`` at a time.
     """
     ship(spark)
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payloads]
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), **({"payload": pa.binary()} if payloads else {})}
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                rows = [[r[n] for n in names] for r in map(parse_record, read_archive(content))]
-                out = pd.DataFrame(rows, columns=names)
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                found = map(parse_record, read_archive(content.as_py()))
+                while rows := list(islice(found, batch_rows)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in kinds.items()], names=list(kinds))
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(records, schema)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, schema)
