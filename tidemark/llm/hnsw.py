@@ -136,24 +136,28 @@ def build_graph(ids: np.ndarray, vecs: np.ndarray) -> bytes:
     return pickle.dumps((graph, nodes[mix], starts[:-1][mix], starts[1:][mix], ids), protocol=5)
 
 
-def search_graph(made: bytes, query_ids: np.ndarray, queries: np.ndarray, k: int, width: int = SEARCH_WIDTH) -> pd.DataFrame:
-    graph, nodes, first, after, ids = pickle.loads(made)
+def search_graph(made: tuple, query_ids: np.ndarray, queries: np.ndarray, k: int, width: int = SEARCH_WIDTH) -> pd.DataFrame:
+    graph, nodes, first, after, ids = made
     out: list[tuple[int, int, float]] = []
     for qid, q in zip(query_ids.tolist(), queries, strict=True):
         hit = graph.search(q, max(width, k + 1))
         exact = np.sqrt(((nodes[hit] - q) ** 2).sum(axis=1))
-        rows = [(d, v) for d, h in zip(exact.tolist(), hit.tolist(), strict=True) for v in ids[first[h] : min(after[h], first[h] + k + 1)].tolist() if v != qid]
-        out += [(qid, v, d) for d, v in sorted(rows)[:k]]
+        best: dict[int, float] = {}
+        for d, v in sorted((d, v) for d, h in zip(exact.tolist(), hit.tolist(), strict=True) for v in ids[first[h] : min(after[h], first[h] + k + 1)].tolist()):
+            if v != qid and len(best) < k:
+                best.setdefault(v, d)
+        out += [(qid, v, d) for v, d in best.items()]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
-def nearest(vectors: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 8192) -> DataFrame:
+def nearest(vectors: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 4096) -> DataFrame:
     """Each query's k nearest found by Euclidean distance: query_id, rank, vec_id, score.
 
     Vectors null, empty, zero, or with null or non-finite components, and rows without an id, take no part; vectors are
-    compared with those of their own length. Rows that repeat with id and vector are one candidate. No rows give none.
+    compared with those of their own length. Rows that repeat with id and vector are one candidate; an id with several
+    vectors is one with the nearest of them, and asks with each. No rows give none.
     """
     v = F.col(vec_col).cast("array<double>")
-    rows = vectors.where(F.col(id_col).isNotNull() & finite(v) & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    rows = vectors.where(F.col(id_col).isNotNull() & finite(v) & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).distinct()
     queries = rows.where(query_filter(F.col("id")))
     return scatter_search(rows, queries, build_graph, search_graph, k, "double", True, shard_rows)

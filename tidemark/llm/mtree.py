@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.vectors import finite, scatter_search
+from tidemark.llm.vectors import finite, first_of_each, scatter_search
 
 #: Rows of a leaf page, and children of an inner page.
 PAGE_ROWS, FANOUT = 64, 16
@@ -62,13 +62,13 @@ def build_tree(ids: np.ndarray, vecs: np.ndarray) -> bytes:
     return pickle.dumps((ids[order], rows.astype(np.int64), spans, pivot_rows, np.array(radii), np.array(to_parent), np.array(first), np.array(last), np.array(leaf)), protocol=5)
 
 
-def search_tree(made: bytes, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+def search_tree(made: tuple, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
     """Pages in falling order of their bound, until none can reach the k-th score found.
 
     A row within distance r of a routing vector p scores at most <q, p> + |q| r. Where r includes the stored distance to
     the parent's vector, the bound needs no product of its own; only pages that pass it are computed.
     """
-    ids, rows, spans, pivots, radii, to_parent, first, last, leaf = pickle.loads(made)
+    ids, rows, spans, pivots, radii, to_parent, first, last, leaf = made
     out: list[tuple[int, int, int]] = []
     exact = rows.astype(np.float64) if len(rows) and np.abs(rows).max() < 1 << 20 else None
     for qid, q in zip(query_ids.tolist(), queries, strict=True):
@@ -94,7 +94,8 @@ def search_tree(made: bytes, query_ids: np.ndarray, queries: np.ndarray, k: int)
                 scores = np.rint(exact[near] @ q).astype(np.int64) if small else rows[near] @ whole
                 ok = (scores >= floor) & (ids[near] != qid)
                 best_scores, best_ids = np.concatenate((best_scores, scores[ok])), np.concatenate((best_ids, ids[near][ok]))
-                top = np.lexsort((best_ids, -best_scores))[:k]
+                top = np.lexsort((best_ids, -best_scores))
+                top = top[first_of_each(best_ids[top], k)]
                 best_scores, best_ids = best_scores[top], best_ids[top]
                 if len(top) == k:
                     floor = best_scores[-1]
@@ -113,8 +114,9 @@ def top_products(vectors: DataFrame, query_filter, k: int = 10, scale: float = 1
     """Each query's k highest inner products of floor(scale * x): query_id, rank, vec_id, score (long), exact.
 
     Vectors null, empty, or with null or non-finite components, and rows without an id, take no part; zero vectors do.
-    Vectors are compared with those of their own length. Rows that repeat with id and vector are one candidate. Products
-    are exact while they fit a long. No rows give none.
+    Vectors are compared with those of their own length. Rows that repeat with id and vector are one candidate; an id
+    with several vectors is one with the best of their scores, and asks with each. Products are exact while they fit a
+    long. No rows give none.
     """
     v = F.col(vec_col).cast("array<double>")
     rows = vectors.where(F.col(id_col).isNotNull() & finite(v)).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale)).alias("v"))
