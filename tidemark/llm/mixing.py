@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sources that may be broadcast, once counted; beyond it the rates are joined by a shuffle.
-BROADCAST_SOURCES = 50_000
+from tidemark.llm.common import numbered
+
+#: Entries of all sources' distributions that may be broadcast (8 bytes each), once summed; beyond it they are joined by a shuffle.
+BROADCAST_ENTRIES = 1 << 20
 
 
 def uniform(seed: int, *parts: str | Column) -> Column:
@@ -15,16 +17,19 @@ def uniform(seed: int, *parts: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """Array of P(X <= k), k from 0 to beyond any 52-bit uniform; in logarithms, so large rates don't underflow."""
-    ks = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int"))
-    start = F.struct(F.array(F.exp(-rate)).alias("cdf"), (-rate).alias("log_p"))
+def cdf_entries(rate: Column) -> Column:
+    """Length of a rate's table: it ends beyond any 52-bit uniform."""
+    return F.when(rate > 0, F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int") + 1).otherwise(1)
 
-    def step(acc: Column, k: Column) -> Column:
-        log_p = acc["log_p"] + F.log(rate) - F.log(k.cast("double"))
-        return F.struct(F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + F.exp(log_p))).alias("cdf"), log_p.alias("log_p"))
 
-    return F.when(rate > 0, F.aggregate(ks, start, step, lambda acc: acc["cdf"])).otherwise(F.array(F.lit(1.0)))
+def poisson_tables(rates: DataFrame) -> DataFrame:
+    """Rows (source, rate) with cdf: the array of P(X <= k) for k from 0; summed in logarithms, so large rates don't underflow."""
+    rate, k = F.col("rate"), F.col("k").cast("double")
+    steps = rates.select("source", "rate", F.explode(F.sequence(F.lit(0), cdf_entries(rate) - 1)).alias("k"))
+    upto = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    logs = steps.withColumn("log_p", F.sum(F.when(F.col("k") > 0, F.log(rate) - F.log(k)).otherwise(-rate)).over(upto))
+    sums = logs.withColumn("cdf", F.sum(F.exp("log_p")).over(upto))
+    return sums.groupBy("source", "rate").agg(F.sort_array(F.collect_list(F.struct("k", "cdf")))["cdf"].alias("cdf"))
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, source_col: str = "source", total: float | None = None) -> DataFrame:
@@ -47,21 +52,23 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     return weighed.crossJoin(F.broadcast(sums)).select("source", "n", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", total: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, seed: int = 17, source_col: str = "source", total: float | None = None) -> DataFrame:
     """Each row repeated by an inverted Poisson draw, in a global random order; adds copy (from 0), copies, rate and mix_order.
 
-    The draw depends on the seed and the id alone, so a rerun or a lost executor changes nothing. Rows are dealt to
-    partitions by a hash of seed, id and copy and lie in the order of mix_order within them. A null id draws as an empty
-    one; rows repeated with one id share a draw; an empty text is a row as any other; columns of these names are replaced.
+    A row's draw depends on the seed, its values in all columns, and its number among rows equal to it; so rows of one id,
+    or of none, draw each for themselves, and a rerun or a lost executor changes nothing. Rows are dealt to partitions by a
+    hash of that and of the copy's number, and lie in the order of mix_order within them. Null ids and null or empty texts
+    are values as any other; columns of the names added are replaced; no rows give none.
     """
-    rates = source_rates(docs, weights, power, source_col, total)
-    table = rates.select(F.col("source").alias("__src"), "rate", poisson_cdf(F.col("rate")).alias("__cdf"))
-    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
     base = docs.drop("copy", "copies", "rate", "mix_order")
-    drawn = base.join(table, base[source_col].eqNullSafe(table["__src"])).drop("__src")
-    drawn = drawn.withColumn("__u", uniform(seed, F.col(id_col)))
+    rates = source_rates(base, weights, power, source_col, total).select("source", "rate")
+    table = poisson_tables(rates).select(F.col("source").alias("__src"), "rate", F.col("cdf").alias("__cdf"))
+    entries = rates.agg(F.sum(cdf_entries(F.col("rate")).cast("long"))).first()[0] or 0
+    if entries <= BROADCAST_ENTRIES:
+        table = F.broadcast(table)
+    drawn = numbered(base).join(table, F.col(source_col).eqNullSafe(F.col("__src"))).drop("__src")
+    drawn = drawn.withColumn("__u", uniform(seed, "__row", "__occ"))
     drawn = drawn.withColumn("copies", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))).cast("long")).drop("__cdf", "__u")
     each = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
-    return each.withColumn("mix_order", order).repartition("mix_order").sortWithinPartitions("mix_order")
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "__row", F.col("__occ").cast("string"), F.col("copy").cast("string")).cast("binary"))
+    return each.withColumn("mix_order", order).drop("__row", "__occ").repartition("mix_order").sortWithinPartitions("mix_order")

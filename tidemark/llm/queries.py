@@ -50,7 +50,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = suffix.repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return spans.select("doc_id", suffix.kept_digest(F.col("text"), F.col("spans")).alias("d")).select("doc_id", "d.*")
+    told = spans.select("doc_id", suffix.kept_digest(F.col("text"), F.col("spans")).alias("d"))
+    return told.select("doc_id", "d.n_bytes", "d.n_removed", "d.n_spans", "d.kept_sha256", "d.n_kept", F.col("d.kept").alias("text"))
 
 
 def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,14 +89,19 @@ steps AS (
   FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
 ),
 tables AS (SELECT source, rate, list(cdf ORDER BY k) AS cdf FROM steps GROUP BY source, rate),
+numbered AS (
+  SELECT *, md5(concat_ws(':', md5(coalesce('=' || doc_id::VARCHAR, '-')), md5(coalesce('=' || lang, '-')), md5(coalesce('=' || n_chars::VARCHAR, '-')),
+      md5(coalesce('=' || source, '-')), md5(coalesce('=' || text, '-')))) AS row_id,
+    row_number() OVER (PARTITION BY doc_id, lang, n_chars, source, text) - 1 AS occ
+  FROM documents
+),
 draws AS (
-  SELECT d.doc_id, d.source, length(d.text) AS text_chars, t.rate, t.cdf,
-    CAST('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13) AS UBIGINT)::DOUBLE / 4503599627370496.0 AS u
-  FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.doc_id, d.source, length(d.text) AS text_chars, d.row_id, d.occ, t.rate, t.cdf,
+    CAST('0x' || substr(md5(concat_ws(':', '17', d.row_id, d.occ)), 1, 13) AS UBIGINT)::DOUBLE / 4503599627370496.0 AS u
+  FROM numbered d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source
 ),
-counted AS (SELECT doc_id, source, text_chars, rate, len(list_filter(cdf, lambda c: c <= u)) AS copies FROM draws)
-SELECT doc_id, source, text_chars, copy, copies, round(rate, 9) AS rate,
-  md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR) AS mix_order
+counted AS (SELECT *, len(list_filter(cdf, lambda c: c <= u)) AS copies FROM draws)
+SELECT doc_id, source, text_chars, copy, copies, round(rate, 9) AS rate, md5(concat_ws(':', '17', row_id, occ, copy)) AS mix_order
 FROM (SELECT *, unnest(range(copies)) AS copy FROM counted)
 """
 
