@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, row_key
+from tidemark.llm.common import cut, row_key, written
 from tidemark.runtime import ship
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
@@ -383,7 +383,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.drop("spans")
     whole = docs.withColumns({"__k1": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "__k2": row_key(F.col(id_col), F.col(text_col))})
     keys = ["__k1", "__k2"]
-    found = whole.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col(text_col).alias("text")).mapInArrow(_find_anchors(length, kgram), "k1 long, k2 long, h long, ps array<long>")
+    # Written once: the counts and the rows kept both read it, and finding anchors is the dearest step.
+    found = written(whole.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col(text_col).alias("text")).mapInArrow(_find_anchors(length, kgram), "k1 long, k2 long, h long, ps array<long>"), "anchors")
     often = cut(found.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.size("ps")).alias("places")).where("places > 1").drop("places"))
     wanted = cut(found.join(often, "h").select("k1", "k2", "ps", "h", "n"))
 
@@ -413,20 +414,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def kept_digest(text: Column, spans: Column) -> Column:
-    """Struct of n_bytes, n_removed, n_spans and kept_sha256: sizes and digest of what is left of a text without its spans."""
+    """Struct of n_bytes, n_removed, n_spans, kept_sha256, n_kept and kept: sizes, digest and text of what is left without the spans.
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    Spans may cut a character: then ``kept`` has replacement characters, the digest the bytes as they are.
+    """
+
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, kept string")
     def digests(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
         rows = []
         for text, found in zip(texts, cuts, strict=True):
             raw = _raw(text)
-            digest, at, gone = hashlib.sha256(), 0, 0
+            parts, at = [], 0
             for s in found:
-                digest.update(raw[at : s["start"]])
+                parts.append(raw[at : s["start"]])
                 at = s["end"]
-                gone += s["end"] - s["start"]
-            digest.update(raw[at:])
-            rows.append((len(raw), gone, len(found), digest.hexdigest()))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            left = b"".join([*parts, raw[at:]])
+            rows.append((len(raw), len(raw) - len(left), len(found), hashlib.sha256(left).hexdigest(), len(left), left.decode("utf-8", "replace")))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "kept"])
 
     return digests(text, spans)
