@@ -15,7 +15,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from tidemark.llm import hnsw, mixing, mtree, pieces, quality, queries, secrets, sharding, simhash, suffix, warc
+from tidemark.llm import common, hnsw, mixing, mtree, pieces, quality, queries, secrets, sharding, simhash, suffix, warc
 from tidemark.llm.components import connected_components
 
 SF = "/root/testdata/sf0.01"
@@ -85,6 +85,27 @@ def test_searches_on_awkward_vectors(spark):
     assert mtree.top_products(df.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [4, 100])
+def test_searches_give_whole_results_where_rows_repeat(spark, shard_rows):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-9, 9, 4).astype(float).tolist()) for i in range(1, 40)] + [(0, [1.0, 2.0, 3.0, 4.0])]
+    rows += [rows[4]] * 6 + [rows[-1]] * 3 + [(5, [1.0, 2.0, 3.0, 5.0]), (0, [9.0, -9.0, 9.0, -9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asks = [np.array(v) for i, v in rows if i == 0]
+
+    def want(score):
+        best = {}
+        for i, v in rows:
+            if i:
+                best[i] = min([score(q, np.array(v)) for q in asks] + [best.get(i, math.inf)])
+        return sorted((s, i) for i, s in best.items())[:10]
+
+    near = [(r.score, r.vec_id) for r in hnsw.nearest(df, lambda i: i % 100 == 0, shard_rows=shard_rows).orderBy("rank").collect()]
+    assert near == want(lambda q, v: float(np.sqrt(((q - v) ** 2).sum())))
+    top = [(-r.score, r.vec_id) for r in mtree.top_products(df, lambda i: i % 100 == 0, shard_rows=shard_rows).orderBy("rank").collect()]
+    assert top == want(lambda q, v: -int((1024 * q) @ (1024 * v)))
+
+
 def exact_products(rows, k=10):
     good = [(v, np.floor(1024 * np.array(e, np.float64)).astype(np.int64)) for v, e in rows]
     ids, mat = np.array([g[0] for g in good]), np.array([g[1] for g in good])
@@ -110,7 +131,7 @@ def test_mtree_is_exact_on_clusters_and_shards(spark):
 
 # 2: secrets
 
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
 def base_spans(text):
@@ -215,16 +236,19 @@ def test_piece_rows(spark, library):
 PAGES = [(1, "http://a/", "same"), (2, "http://b/", "same"), (3, None, None), (4, "http://c/ x\n", ""), (5, "u", "é" * 50_000), (None, "v", "lone"), (6, "w", "lone"), (7, "t", "other"), (7, "t", "other")]
 
 
+LEAST = -(1 << 63)
+
+
 def expected_pages(rows, min_bytes=0):
     last = {}
     for p, _, h in rows:
         b = (h or "").encode()
         if len(b) >= min_bytes:
-            last[b] = max(last.get(b, -1), -1 if p is None else p)
+            last[b] = max(last.get(b, LEAST), LEAST if p is None else p)
     out = []
     for p, _, h in rows:
         b = (h or "").encode()
-        own = len(b) < min_bytes or last[b] == (-1 if p is None else p)
+        own = len(b) < min_bytes or last[b] == (LEAST if p is None else p)
         out.append((p, len(b), warc.payload_digest(b), "response" if own else "revisit", None if own else last[b]))
     return Counter(out)
 
@@ -240,6 +264,29 @@ def test_archives_round_trip(spark, tmp_path, min_bytes):
     assert warc.read_archives(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_archives_keep_large_ids_and_ignore_other_columns(spark, tmp_path):
+    big = 1 << 60
+    rows = [(big + 1, "u", "same"), (big + 3, "v", "same"), (None, "w", "same"), (big + 5, None, None), (-big - 1, "x", "")] + [(None, "n", f"null id {i % 40}") for i in range(60)]
+    df = spark.createDataFrame([(*r, 1, "a", "b") for r in rows], "page_id long, url string, html string, refers_to long, sha1 string, payload string").repartition(3)
+    for k, size in enumerate((32 << 20, 300)):
+        warc.write_archives(df, f"{tmp_path}/{k}", archive_bytes=size)
+        got = warc.read_archives(spark, f"{tmp_path}/{k}", payloads=True, batch_rows=7).collect()
+        assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == expected_pages(rows)
+    assert len(list(tmp_path.glob("1/part-*"))) > len(list(tmp_path.glob("0/part-*")))  # archives are rolled
+    for file in tmp_path.glob("1/part-*"):
+        assert len(list(warc.read_archive(file.read_bytes()))) >= 1
+    assert {r.refers_to for r in warc.revisits(df).where("html = 'same'").collect()} == {big + 3}
+
+
+def test_archive_query_with_revisits(spark, tmp_path):
+    rows = [(r["page_id"] + (1 << 60), r["url"], r["html"]) for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()]
+    rows += [(i, "again", rows[i % 50][2]) for i in range(200)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = expected_pages(rows)
+    assert sum(n for (_, _, _, kind, _), n in want.items() if kind == "revisit") >= 200
+    assert Counter(map(tuple, queries.op4_warc(spark, str(tmp_path)).collect())) == want
+
+
 def test_archive_query(spark):
     rows = [(r["page_id"], r["url"], r["html"]) for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()]
     assert Counter(map(tuple, queries.op4_warc(spark, SF).collect())) == expected_pages(rows)
@@ -343,7 +390,7 @@ def test_repeated_spans_of_documents(spark):
             kept += raw[at:a]
             at = b
         kept += raw[at:]
-        assert tuple(got[d["doc_id"]]) == (d["doc_id"], len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+        assert tuple(got[d["doc_id"]]) == (d["doc_id"], len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(kept), kept.decode("utf-8", "replace"))
 
 
 def test_merge_of_runs_keeps_shared_prefixes():
@@ -376,7 +423,7 @@ def test_mixing_meets_its_rates(spark):
 
 def test_poisson_cdf(spark):
     for rate in (0.0, 0.3, 7.5, 900.0):
-        cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(rate)).alias("c")).first().c
+        cdf = mixing.poisson_tables(spark.createDataFrame([("s", rate)], "source string, rate double")).first().cdf
         assert cdf[-1] == pytest.approx(1.0, abs=1e-9)
         p, total = [], 0.0
         for k in range(len(cdf)):
@@ -385,11 +432,44 @@ def test_poisson_cdf(spark):
         assert np.allclose(cdf, p, atol=1e-9)
 
 
-def test_mixing_agrees_with_sql(spark):
+def awkward_sources(spark, path):
+    """A third of the rows without an id, another with one id and text; nulls, empty texts, and a source that is rare."""
+    rows = [(i, f"text {i}", "en", "a", 6) for i in range(900)] + [(None, f"t{i % 300}", None, "b", 2) for i in range(900)] + [(7, "same", "fr", "a", 4)] * 899
+    rows += [(7, "same", "fr", "rare", 4), (1, None, "en", None, 0), (1, "", "en", None, 0), (1, None, "en", None, 0), (None, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(f"{path}/documents.parquet")
+    return rows
+
+
+@pytest.mark.parametrize("which", ["documents", "awkward"])
+def test_mixing_agrees_with_sql(spark, tmp_path, which):
+    sf = SF if which == "documents" else str(tmp_path)
+    if which == "awkward":
+        awkward_sources(spark, sf)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet{'' if which == 'documents' else '/*.parquet'}'")
     want = Counter(con.execute(queries.oracle_sql()["op8_mixing"]).fetchall())
-    assert Counter(map(tuple, queries.op8_mixing(spark, SF).collect())) == want
+    assert Counter(map(tuple, queries.op8_mixing(spark, sf).collect())) == want and want
+
+
+def test_mixing_of_repeated_and_missing_ids(spark, tmp_path):
+    rows = awkward_sources(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.mix(docs, {"a": 1.0, "b": 1.0}).withColumn("n", F.lit(0)).collect()
+    found = Counter(r.source for r in got)
+    assert set(found) == {"a", "b"} and all(abs(v - len(rows) / 2) < 5 * math.sqrt(len(rows) / 2) for v in found.values())
+    assert len({r.mix_order for r in got}) == len(got)
+    assert 200 < len({r.text for r in got if r.doc_id is None}) <= 300
+    assert Counter(map(tuple, mixing.mix(docs.repartition(3)).collect())) == Counter(map(tuple, mixing.mix(docs.coalesce(1)).collect()))
+
+
+def test_numbering_of_equal_rows(spark, monkeypatch):
+    rows = [(1, "a")] * 5 + [(None, "a")] * 4 + [(None, None)] * 3 + [(1, "b"), (2, "")]
+    for few, block in ((200_000, 1 << 16), (0, 2)):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", few)
+        monkeypatch.setattr(common, "OCCURRENCE_BLOCK", block)
+        got = common.numbered(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert Counter((r.doc_id, r.text, r["__occ"]) for r in got) == Counter((*k, i) for k, n in Counter(rows).items() for i in range(n))
+        assert len({r["__row"] for r in got}) == 5
 
 
 # 9: near-duplicates
@@ -480,7 +560,7 @@ def test_sharding(spark):
 
 def test_sharding_on_awkward_rows(spark):
     df = frame(spark, AWKWARD * 3)
-    got = sharding.shard_records(df, shards=3, bucket_rows=2).collect()
+    got = sharding.shard_records(df, shards=3, bucket_bytes=9000).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter(AWKWARD * 3)
     slots, place = defaultdict(list), defaultdict(set)
     for r in got:
@@ -490,3 +570,30 @@ def test_sharding_on_awkward_rows(spark):
     assert sharding.shard_records(df.limit(0)).count() == 0
     order = [r.doc_id for r in sharding.shard_records(spark.range(500).withColumnRenamed("id", "doc_id"), shards=1).orderBy("slot").collect()]
     assert sorted(order) == list(range(500)) and order != sorted(order)
+
+
+def test_slots_follow_from_the_rows_alone(spark):
+    rows = [(i, f"text {i % 700}") for i in range(1000)] + [(None, "hot")] * 600 + [(5, f"hot {i}") for i in range(400)] + [(i, "long " * 4000) for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    seen = []
+    for parts, shuffles in ((1, 3), (8, 31)):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        got = sharding.shard_records(df.repartition(parts), shards=4, bucket_bytes=4096).collect()
+        seen.append(Counter((r.doc_id, r.text, r.shard, r.grown_shard, r.slot) for r in got))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert seen[0] == seen[1]
+    slots, place = defaultdict(list), defaultdict(set)
+    for (i, _, shard, grown, slot), n in seen[0].items():
+        slots[shard] += [slot] * n
+        place[i].add((shard, grown))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(p) == 1 for p in place.values())
+    other = sharding.shard_records(df, shards=4, bucket_bytes=4096, seed=24).collect()
+    assert Counter((r.doc_id, r.text, r.shard, r.grown_shard, r.slot) for r in other) != seen[0]
+
+
+def test_no_bucket_holds_more_than_its_bytes(spark):
+    """A third of all rows have one id: they stay in one shard and spread over its buckets."""
+    df = spark.createDataFrame([(i, "x" * 200) for i in range(2000)] + [(3, "x" * 200)] * 1000, SCHEMA)
+    plan = sharding.shard_records(df, shards=2, bucket_bytes=20_000)
+    per_task = plan.groupBy("shard", F.spark_partition_id().alias("p")).count().collect()
+    assert len(per_task) > 25 and max(r["count"] for r in per_task) < 250

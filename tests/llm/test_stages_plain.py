@@ -21,9 +21,10 @@ def frame(spark, rows):
 def test_mixing(spark):
     n = Counter(d["source"] for d in DOCS)
     rate = {s: math.sqrt(n[s]) / sum(map(math.sqrt, n.values())) * len(DOCS) / n[s] for s in n}
-    want = Counter()
-    for d in DOCS:
-        u, r, k, cdf = int(hashlib.md5(f"17:{d['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52, rate[d["source"]], 0, 0.0
+    want, md5 = Counter(), lambda s: hashlib.md5(s.encode()).hexdigest()
+    for d in DOCS:  # no two rows are equal
+        row = md5(":".join(md5("-" if d[c] is None else f"={d[c]}") for c in sorted(d)))
+        u, r, k, cdf = int(md5(f"17:{row}:0")[:13], 16) / 2**52, rate[d["source"]], 0, 0.0
         while (cdf := cdf + math.exp(k * math.log(r) - r - math.lgamma(k + 1))) <= u:
             k += 1
         want[d["doc_id"]] = k
