@@ -7,9 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Most words of a name whose variants are multiplied out; longer names keep their further words as they are.
-ALIAS_WORDS = 6
-
 
 def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -60,7 +57,7 @@ def identity(c: Column) -> Column:
 
 
 def alias(c: Column) -> Column:
-    """One loose form of a name: & is and, plural ends go, other characters go."""
+    """One loose form of a name: & is and, plural ends go, other characters go. The steps are fixed values."""
     t = F.regexp_replace(F.trim(F.lower(_text(c))), "&", "and")
     return reduce(lambda x, p: F.regexp_replace(x, *p), (("bunnies", "bunny"), (r"ies\b", "y"), (r"s\b", ""), ("[^a-z0-9]+", "")), t)
 
@@ -85,9 +82,9 @@ def alias_keys(c: Column) -> Column:
 
 
 def _product(ws: Column, variants) -> Column:
-    head, tail = F.slice(ws, 1, ALIAS_WORDS), F.array_join(F.slice(ws, ALIAS_WORDS + 1, 1000), "")
-    grown = F.aggregate(head, F.array(F.lit("")), lambda acc, w: F.flatten(F.transform(acc, lambda p: F.transform(variants(w), lambda v: F.concat(p, v)))))
-    return F.when(F.size(ws) > 0, F.transform(grown, lambda p: F.concat(p, tail))).otherwise(F.array().cast("array<string>"))
+    """Every choice of a variant per word, joined; their number is the product of the words' variants."""
+    grown = F.aggregate(ws, F.array(F.lit("")), lambda acc, w: F.flatten(F.transform(acc, lambda p: F.transform(variants(w), lambda v: F.concat(p, v)))))
+    return F.when(F.size(ws) > 0, grown).otherwise(F.array().cast("array<string>"))
 
 
 def registry_alias_keys(c: Column) -> Column:

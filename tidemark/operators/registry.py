@@ -68,12 +68,17 @@ def diff(old: DataFrame, new: DataFrame, last_sample: DataFrame, as_of: Column,
     o = old.select(*keys, F.struct("floor", "listed").alias("was"))
     n = new.select(*keys, F.struct("floor", "listed").alias("now"))
     both = o.join(n, keys, "full").join(last_sample.select(*keys, "sampled_at"), keys, "left")
+    return changes(both, as_of, resample_hours, keep_removed)
+
+
+def changes(both: DataFrame, as_of: Column, resample_hours: int = 24, keep_removed: bool = False) -> DataFrame:
+    """``diff`` of entries that already lie side by side: collection, combo, structs was and now (floor, listed), sampled_at."""
     changed = ~F.col("was").eqNullSafe(F.col("now"))
     due = F.col("sampled_at").isNull() | (F.unix_micros(as_of) - F.unix_micros("sampled_at") >= resample_hours * 3_600_000_000)
     reason = F.when(F.col("now").isNull(), "removed").when(F.col("was").isNull(), "new").when(changed, "changed").otherwise("resample")
     out = both.where(changed | due).withColumn("reason", reason)
     out = out if keep_removed else out.where(F.col("now").isNotNull())
-    return out.select(*keys, F.col("now.floor").alias("floor"), F.col("now.listed").alias("listed"), "reason")
+    return out.select("collection", "combo", F.col("now.floor").alias("floor"), F.col("now.listed").alias("listed"), "reason")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -102,29 +107,3 @@ def fuzzy_resolve(requests: DataFrame, stored: DataFrame) -> DataFrame:
     left = requests.select("name", F.explode(text.signature_keys(F.col("name"))).alias("s")).distinct()
     right = stored.select(F.col("name").alias("stored"), F.explode(text.signature_keys(F.col("name"))).alias("s")).distinct()
     return left.join(right, "s").groupBy("name").agg(F.countDistinct("stored").alias("n"), F.min("stored").alias("stored")).where("n = 1").select("name", "stored")
-
-
-def tier_match(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Each name's best catalogue row by tier: 1 equal key (also singular or plural), 2 equal alias, 3 alias within alias,
-    4 key within key; ties to the earlier row. ``requests`` has name; ``catalog`` has ord and title.
-
-    Tiers 1 and 2 are equi-joins. Only names they leave open go on to containment, by the three-letter substrings that
-    any two texts, one within the other, share, unless one is shorter; those are few and compared by their whole text.
-    """
-    n = requests.select("name").distinct().withColumns({"k": text.key(F.col("name")), "a": text.alias(F.col("name"))})
-    c = catalog.select("ord", "title", text.key(F.col("title")).alias("ck"), text.alias(F.col("title")).alias("ca"))
-    forms = F.array_distinct(F.filter(F.array("k", F.when(F.endswith("k", F.lit("s")), F.left("k", F.length("k") - 1)).otherwise(F.col("k")), F.concat("k", F.lit("s"))), lambda x: (x != "") & (x != "s")))
-    one = n.select("name", F.explode(forms).alias("ck")).join(c, "ck").select("name", "ord", "title", F.lit(1).alias("tier"))
-    two = n.where("a <> ''").join(c, F.col("a") == F.col("ca")).select("name", "ord", "title", F.lit(2).alias("tier"))
-    exact = one.unionByName(two).groupBy("name").agg(F.min_by(F.struct("ord", "title", "tier"), F.struct("tier", "ord")).alias("h"))
-    left = n.join(exact, "name", "left_anti")
-    grams = lambda x: F.array_distinct(F.when(F.length(x) < 3, F.array(F.lit("*"))).otherwise(F.concat(F.array(F.lit("*")), F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substr(x, i, F.lit(3))))))
-
-    def within(a: str, b: str, tier: int) -> DataFrame:
-        x = left.where(F.col(a) != "").select("name", a, F.explode(grams(F.col(a))).alias("g"))
-        y = c.where(F.col(b) != "").select("ord", "title", b, F.explode(grams(F.col(b))).alias("g"))
-        short = (F.col("g") != "*") | (F.length(a) < 3) | (F.length(b) < 3)
-        return x.join(y, "g").where(short & (F.contains(a, b) | F.contains(b, a))).select("name", "ord", "title", F.lit(tier).alias("tier")).distinct()
-
-    loose = within("a", "ca", 3).unionByName(within("k", "ck", 4)).groupBy("name").agg(F.min_by(F.struct("ord", "title", "tier"), F.struct("tier", "ord")).alias("h"))
-    return exact.unionByName(loose).select("name", "h.*")

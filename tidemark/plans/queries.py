@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import numbers, payload, text
 from tidemark.operators import details as D
 from tidemark.operators import holdings as H
+from tidemark.operators import matching as M
 from tidemark.operators import registry as R
 from tidemark.operators import sales as S
 from tidemark.operators import series as T
@@ -89,15 +90,15 @@ def combo_buckets(spark, d):
     return each.groupBy("collection_key", "bucket").agg(F.count("*").alias("entries"), F.sum("e.listed").alias("listed"), r4(F.min("e.floor"), "floor"))
 
 
-@query(f"""WITH names AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT name, regexp_extract_all(lower(name), '[a-z0-9]+') AS ws FROM names),
-reg AS (SELECT {SQL_KEY.format("p_name")} AS rk, count(*) AS parts FROM part WHERE p_partkey % 3 > 0 GROUP BY 1),
+@query(f"""WITH names AS (SELECT p_name AS name FROM part UNION SELECT p_type FROM part), w AS (SELECT name, regexp_extract_all(lower(name), '[a-z0-9]+') AS ws FROM names),
+reg AS (SELECT {SQL_KEY.format("p_name")} AS rk, count(*) AS parts FROM part GROUP BY 1),
 keys AS (SELECT name, unnest([list_reduce(list_prepend('', ws), lambda a, b: a || b), list_reduce(list_prepend('', list_transform(ws, lambda x: {SQL_SINGULAR.format("x")})), lambda a, b: a || b)]) AS k, unnest([0, 1]) AS p FROM w),
 hit AS (SELECT name, arg_min(rk, p) AS registry_key, arg_min(parts, p) AS parts FROM keys JOIN reg ON k = rk GROUP BY 1)
 SELECT n.name, h.registry_key, h.parts FROM names n LEFT JOIN hit h USING (name)""")
 def registry_lookup_alias(spark, d):
     part = src.table(spark, d, "part")
-    names = part.select(F.col("p_name").alias("name")).distinct()
-    reg = part.where("p_partkey % 3 > 0").groupBy(text.key(F.col("p_name")).alias("registry_key")).agg(F.count("*").alias("parts"))
+    names = part.select(F.col("p_name").alias("name")).union(part.select("p_type")).distinct()  # types are in no registry
+    reg = part.groupBy(text.key(F.col("p_name")).alias("registry_key")).agg(F.count("*").alias("parts"))
     keys = F.array_distinct(F.array(text.key(F.col("name")), text.identity(F.col("name"))))
     return R.lookup_by_alias(names, reg, "name", keys, "registry_key").select("name", "registry_key", "parts")
 
@@ -116,21 +117,18 @@ _HALVES = """{listings}, f AS (SELECT half, collection, model || ':' || backdrop
  (SELECT *, CASE WHEN sold_at < TIMESTAMP '1997-01-01' THEN 0 ELSE 1 END AS half FROM listings) GROUP BY ALL)"""
 
 
-def _half(spark, d, late: bool):
-    line = src.sales(spark, d).withColumn("listing_id", F.col("sale_id"))
-    raw = src.listings(spark, d).join(line.select("sale_id", "sold_at").distinct(), F.col("listing_id") == F.col("sale_id"))
-    cut = F.lit("1997-01-01").cast("timestamp")
-    part = raw.where(F.col("sold_at") >= cut if late else F.col("sold_at") < cut)
-    return part.groupBy("collection", F.concat_ws(":", "model", "backdrop").alias("combo")).agg(F.min("price").alias("floor"), F.countDistinct("listing_id").alias("listed"), F.max("sold_at").alias("sampled_at"))
-
-
 @query(f"""WITH {_HALVES.format(listings=LISTINGS)}, o AS (SELECT * FROM f WHERE half = 0), n AS (SELECT * FROM f WHERE half = 1)
 SELECT n.collection, n.combo, n.floor, n.listed, CASE WHEN o.combo IS NULL THEN 'new' WHEN o.floor <> n.floor OR o.listed <> n.listed THEN 'changed' ELSE 'resample' END AS reason
 FROM n LEFT JOIN o ON n.collection = o.collection AND n.combo = o.combo
 WHERE o.combo IS NULL OR o.floor <> n.floor OR o.listed <> n.listed OR TIMESTAMP '1997-01-01' - o.sampled_at >= INTERVAL 24 HOUR""")
 def registry_diff(spark, d):
-    old = _half(spark, d, False)
-    return R.diff(old, _half(spark, d, True), old, F.lit("1997-01-01").cast("timestamp"))
+    """Both halves come from one pass: each listing once, then conditional aggregates side by side."""
+    cut = F.lit("1997-01-01").cast("timestamp")
+    late = F.col("sold_at") >= cut
+    once = src.listings(spark, d).groupBy("collection", F.concat_ws(":", "model", "backdrop").alias("combo"), late.alias("late"), "listing_id").agg(F.min("price").alias("price"), F.max("sold_at").alias("sold_at"))
+    side = lambda mine: F.when(F.count_if(mine) > 0, F.struct(F.min(F.when(mine, F.col("price"))).alias("floor"), F.count_if(mine).alias("listed")))
+    both = once.groupBy("collection", "combo").agg(side(~F.col("late")).alias("was"), side(F.col("late")).alias("now"), F.max(F.when(~F.col("late"), F.col("sold_at"))).alias("sampled_at"))
+    return R.changes(both, cut)
 
 
 @query(f"WITH {FLOORS}, {HOLDINGS} SELECT DISTINCT collection, model, backdrop FROM holdings h WHERE NOT EXISTS (SELECT 1 FROM floors f WHERE f.collection = h.collection AND f.model = h.model AND f.backdrop = h.backdrop AND f.listed > 1)")
@@ -163,7 +161,44 @@ def tier_match(spark, d):
     part = src.table(spark, d, "part")
     titles = part.select(F.col("p_name").alias("title")).distinct()  # a catalogue of a few dozen names is numbered in one task
     catalog = titles.withColumn("ord", F.row_number().over(Window.orderBy("title")).cast("long"))
-    return R.tier_match(part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")), catalog)
+    return M.tier_match(part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")), catalog)
+
+
+# Items of few characters in their key, and aliases too short to be matched within others, show the least lengths.
+ITEMS = f"""items AS (SELECT p_name AS item, split_part(p_name, ' ', 2) AS collection, p_brand AS address, p_retailprice AS usd, row_number() OVER (ORDER BY p_name, p_partkey) AS ord, {SQL_KEY.format("p_name")} AS ik, {SQL_KEY.format("split_part(p_name, ' ', 2)")} AS ck FROM part),
+asked AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS request, '' AS wanted FROM part UNION SELECT DISTINCT left(p_name, 9), '' FROM part UNION SELECT DISTINCT p_name || ' #12 of 30', p_name FROM part),
+keyed AS (SELECT *, {SQL_KEY.format("regexp_replace(request, '\\s+#[0-9]+.*$', '')")} AS rk, {SQL_KEY.format("wanted")} AS wk FROM asked)"""
+
+
+def _catalog(spark, d):
+    """Rows of part as catalogue items; their order is numbered in one task, as a catalogue is some thousand names."""
+    p = src.table(spark, d, "part")
+    ord_ = F.row_number().over(Window.orderBy("p_name", "p_partkey")).cast("long")
+    return p.select(ord_.alias("ord"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("collection"), F.col("p_name").alias("item"), F.col("p_brand").alias("address"), F.col("p_retailprice").alias("usd"), F.lit(0.0).alias("native"))
+
+
+def _asked(spark, d):
+    names = src.table(spark, d, "part").select("p_name").distinct()
+    none = F.array().cast("array<string>")
+    words = names.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("request")).unionByName(names.select(F.left("p_name", F.lit(9)).alias("request"))).withColumn("items", none)
+    whole = names.select(F.concat("p_name", F.lit(" #12 of 30")).alias("request"), F.array("p_name").alias("items"))
+    return words.unionByName(whole).distinct().select("request", F.array("request").alias("aliases"), "items", F.array("request").alias("collections"))
+
+
+@query(f"""WITH {ITEMS}, priced AS (SELECT *, usd / 0.19 AS native FROM items WHERE usd > 0 AND usd <= 10000 AND usd / 0.19 <= 5000),
+hits AS (SELECT request, ord, usd, native FROM keyed JOIN priced ON CASE WHEN length(wk) > 2 THEN ik = wk ELSE length(rk) > 2 AND ik <> '' AND (ik = rk OR (length(ik) >= 6 AND length(rk) >= 8 AND (contains(ik, rk) OR contains(rk, ik)))) END),
+exact AS (SELECT request, min(ord) AS ord FROM hits GROUP BY 1),
+wide AS (SELECT request, arg_min(ord, row(usd, ord)) AS ord FROM keyed JOIN priced ON length(rk) > 2 AND ck <> '' AND (ck = rk OR (length(ck) >= 6 AND length(rk) >= 8 AND (contains(ck, rk) OR contains(rk, ck)))) WHERE wanted = '' AND request NOT IN (SELECT request FROM exact) GROUP BY 1)
+SELECT request, ord, usd, native, source FROM (SELECT *, 'exact' AS source FROM exact UNION ALL SELECT *, 'collection' FROM wide) JOIN priced USING (ord)""")
+def snapshot_match(spark, d):
+    return M.snapshot_match(_asked(spark, d), _catalog(spark, d), 0.19)
+
+
+@query(f"""WITH {ITEMS}, hits AS (SELECT request, min(ord) AS ord FROM keyed JOIN items ON length(rk) > 3 AND (ik = rk OR (length(ik) >= 8 AND length(rk) >= 8 AND (contains(ik, rk) OR contains(rk, ik)))) GROUP BY 1),
+wide AS (SELECT request, min(ord) AS ord FROM keyed JOIN items ON length(rk) > 3 AND (ck = rk OR (length(ck) >= 8 AND length(rk) >= 8 AND (contains(ck, rk) OR contains(rk, ck)))) WHERE request NOT IN (SELECT request FROM hits) GROUP BY 1)
+SELECT request, collection, item FROM hits JOIN items USING (ord) UNION ALL SELECT request, collection, NULL FROM wide JOIN items USING (ord)""")
+def live_match(spark, d):
+    return M.live_match(_asked(spark, d), _catalog(spark, d))
 
 
 # Snapshots
@@ -577,15 +612,15 @@ def best_pool(spark, d):
 
 
 @query("""WITH t AS (SELECT s_suppkey AS address, s_acctbal AS balance, CASE WHEN s_suppkey % 4 = 0 THEN 'whitelist' ELSE 'none' END AS verification FROM supplier),
-p AS (SELECT l_suppkey AS address, l_tax AS price, l_quantity AS liquidity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_orderkey) AS r FROM lineitem WHERE l_orderkey % 2 = 0),
-r AS (SELECT s_suppkey AS address, s_suppkey * 0.5 AS rate FROM supplier WHERE s_suppkey % 5 > 0)
+p AS (SELECT l_suppkey AS address, l_tax AS price, l_quantity AS liquidity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_orderkey) AS r FROM lineitem),
+r AS (SELECT s_suppkey AS address, s_suppkey * 0.5 AS rate FROM supplier WHERE s_acctbal > 0)
 SELECT t.address, coalesce(p.price > 0 AND (verification = 'whitelist' OR coalesce(liquidity, 0) >= 50), false) AS market_backed, CASE WHEN coalesce(p.price > 0 AND (verification = 'whitelist' OR coalesce(liquidity, 0) >= 50), false) THEN p.price ELSE coalesce(r.rate, 0) END AS price
 FROM t LEFT JOIN p ON p.address = t.address AND p.r = 1 LEFT JOIN r ON r.address = t.address""")
 def enrich_rates(spark, d):
     s, k = src.table(spark, d, "supplier"), F.col("s_suppkey")
     tokens = s.select(k.alias("address"), F.col("s_acctbal").alias("balance"), F.when(k % 4 == 0, "whitelist").otherwise("none").alias("verification"))
-    pairs = src.table(spark, d, "lineitem").where("l_orderkey % 2 = 0").select(F.col("l_suppkey").alias("address"), F.col("l_orderkey").alias("pair_id"), F.col("l_tax").alias("price"), F.col("l_quantity").alias("liquidity"), F.col("l_extendedprice").alias("volume"), F.col("l_linenumber").alias("trades"), F.col("l_discount").alias("change"))
-    rates = s.where(k % 5 > 0).select(k.alias("address"), (k * 0.5).alias("price"))
+    pairs = src.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("address"), F.col("l_orderkey").alias("pair_id"), F.col("l_tax").alias("price"), F.col("l_quantity").alias("liquidity"), F.col("l_extendedprice").alias("volume"), F.col("l_linenumber").alias("trades"), F.col("l_discount").alias("change"))
+    rates = s.where("s_acctbal > 0").select(k.alias("address"), (k * 0.5).alias("price"))
     return H.enrich(tokens, rates, pairs).select("address", "market_backed", "price")
 
 
@@ -666,8 +701,9 @@ def singular(spark, d):
     return w.select("word", text.singular(F.col("word")).alias("singular"))
 
 
-@query(f"""WITH n AS (SELECT DISTINCT p_name AS name, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS ws FROM part), v AS (SELECT name, list_transform(ws, lambda w: list_distinct([w, {SQL_SINGULAR.format('w')}, CASE WHEN length(w) >= 3 AND w NOT LIKE '%s' THEN w || 's' ELSE w END])) AS vs FROM n)
-SELECT DISTINCT name, a || b AS alias FROM (SELECT name, unnest(vs[1]) AS a, vs FROM v) t, LATERAL (SELECT unnest(CASE WHEN len(t.vs) > 1 THEN t.vs[2] ELSE [''] END) AS b) WHERE len(vs) <= 2""")
+@query(f"""WITH RECURSIVE n AS (SELECT DISTINCT p_name AS name, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS ws FROM part), v AS (SELECT name, list_transform(ws, lambda w: list_distinct([w, {SQL_SINGULAR.format('w')}, CASE WHEN length(w) >= 3 AND w NOT LIKE '%s' THEN w || 's' ELSE w END])) AS vs FROM n WHERE len(ws) > 0),
+grown AS (SELECT name, vs, 0 AS done, '' AS alias FROM v UNION ALL SELECT name, vs, done + 1, alias || form FROM (SELECT name, vs, done, alias, unnest(vs[done + 1]) AS form FROM grown WHERE done < len(vs)))
+SELECT DISTINCT name, alias FROM grown WHERE done = len(vs)""")
 def aliases(spark, d):
     n = src.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     return n.select("name", F.explode(text.registry_alias_keys(F.col("name"))).alias("alias"))

@@ -32,9 +32,10 @@ def wallet_collectibles(holdings: DataFrame, listings: DataFrame, sales: DataFra
     return V.cascade(holdings, floors, last, V.estimate(pairs, rated(floors)), rate, R.COMBO)
 
 
-def bulk_floors(pairs: DataFrame, listings: DataFrame, limit: int = 5000) -> DataFrame:
-    """Floors of at most ``limit`` requested combinations, with status priced, thin or pending."""
-    asked = pairs.where("model <> '' and backdrop <> ''").select(*R.COMBO).distinct().orderBy(*R.COMBO).limit(limit)
+def bulk_floors(pairs: DataFrame, listings: DataFrame, limit: int | None = None) -> DataFrame:
+    """Floors of the requested combinations, with status priced, thin or pending; with ``limit``, of the first so many."""
+    asked = pairs.where("model <> '' and backdrop <> ''").select(*R.COMBO).distinct()
+    asked = asked if limit is None else asked.orderBy(*R.COMBO).limit(limit)
     found = asked.join(R.combo_floor(listings), R.COMBO, "left")
     return found.withColumn("status", F.when(F.col("floor").isNull(), "pending").when(R.thin(F.col("floor"), F.col("listed")), "thin").otherwise("priced"))
 

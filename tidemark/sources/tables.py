@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     ident = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return line.join(part, line.l_partkey == part.p_partkey).select(F.col("p_brand").alias("collection"), F.col("p_type").alias("model"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("backdrop"), F.col("l_returnflag").alias("symbol"), F.col("l_linestatus").alias("market"), F.col("l_extendedprice").alias("price"), ident.alias("listing_id"))
+    return line.join(part, line.l_partkey == part.p_partkey).select(F.col("p_brand").alias("collection"), F.col("p_type").alias("model"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("backdrop"), F.col("l_returnflag").alias("symbol"), F.col("l_linestatus").alias("market"), F.col("l_extendedprice").alias("price"), ident.alias("listing_id"), F.col("l_shipdate").cast("timestamp").alias("sold_at"))
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
