@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import record_queries  # noqa: F401  (registers its queries)
+from tidemark.plans import catalog_queries, record_queries  # noqa: F401  (they register their queries)
 from tidemark.plans.queries import QUERIES, SQL
 
 
