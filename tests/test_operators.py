@@ -319,7 +319,7 @@ def test_estimates_against_a_plain_model(spark):
         pairs.append((i, rng.choice("ABCD"), f"m{rng.randint(0, 9)}", rng.choice(backs), rng.choice([0.0, 0.5, 2.0, 8.0]), rng.choice([0.0, 1.0, 2.0])))
     schema = "collection string, model string, backdrop string, floor double, model_rarity double, backdrop_rarity double"
     e = spark.createDataFrame(entries, schema)
-    ids = {tuple(r[:3]): r.h for r in e.select("collection", "model", "backdrop", F.xxhash64(*[text.key(F.col(c)) for c in R.COMBO]).alias("h")).collect()}
+    ids = {tuple(r[:3]): r.h for r in e.select("collection", "model", "backdrop", F.concat_ws(":", *[text.key(F.col(c)) for c in R.COMBO]).alias("h")).collect()}
     with_tie = [(*x, ids[x[:3]]) for x in entries]
     got = {r.pair_id: r for r in V.estimate(spark.createDataFrame(pairs, "pair_id int, collection string, model string, backdrop string, model_rarity double, backdrop_rarity double"), e).collect()}
     assert len(got) == 90

@@ -664,12 +664,48 @@ def _rarities(spark, d):
     return share(p, "p_type", "p_brand", "model_rarity"), share(l, "backdrop", "collection", "backdrop_rarity")
 
 
-@query()
+def _case(x: str, table, test: str, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {test.format(x=x, k=k)} THEN {v!r}" for k, v in table) + f" ELSE {default} END"
+
+
+def _rank(f: str, p: float) -> str:
+    return f"coalesce({f}[floor((len({f}) - 1) * {p})::INT + 1], 0)"
+
+
+# Backdrops get names of several families and tiers, one each.
+_NAMED = "CASE WHEN s = 7 THEN 'Black' WHEN s = 8 THEN 'Carmine' WHEN s % 10 = 0 THEN 'Onyx Black ' || s WHEN s % 10 = 5 THEN 'Emerald ' || s WHEN s % 10 = 3 THEN 'Gold ' || s ELSE 'S' || s END"
+_FAM = _case("{0}", [(pattern, name) for name, pattern in text.FAMILIES], "regexp_matches({x}, '{k}')", "''")
+_PREM = "coalesce(" + _case("bk", [(k, v) for k, (_, v) in numbers.PREMIUMS.items()], "{x} = '{k}'", "NULL") + ", " + _case("fam", numbers.FAMILY_PREMIUMS.items(), "{x} = '{k}'", "1.0") + ")::DOUBLE"
+
+
+@query(f"""WITH {FLOORS}, mr AS (SELECT p_brand AS collection, p_type AS model, count(*)::DOUBLE * 100 / sum(count(*)) OVER (PARTITION BY p_brand) AS mr FROM part GROUP BY 1, 2),
+br AS (SELECT collection, backdrop, count(*)::DOUBLE * 100 / sum(count(*)) OVER (PARTITION BY collection) AS br FROM listings GROUP BY 1, 2),
+named AS (SELECT collection, model, {_NAMED} AS backdrop, floor, listed, mr, br FROM (SELECT *, substr(backdrop, 2)::INT AS s FROM floors JOIN mr USING (collection, model) JOIN br USING (collection, backdrop))),
+fams AS (SELECT *, {SQL_KEY.format("collection")} AS ck, {SQL_KEY.format("model")} AS mk, {SQL_KEY.format("backdrop")} AS bk, {_FAM.format(SQL_ALIAS.format("backdrop"))} AS fam FROM named),
+x AS (SELECT *, {_PREM} AS prem, concat_ws(':', ck, mk, bk) AS id FROM fams), e AS (SELECT * FROM x WHERE listed > 1 AND floor > 0),
+cs AS (SELECT ck, list_sort(list(floor)) AS cf FROM e GROUP BY 1), ms AS (SELECT ck, mk, list_sort(list(floor)) AS mf FROM e GROUP BY 1, 2), bs AS (SELECT ck, bk, list_sort(list(floor)) AS bf FROM e GROUP BY 1, 2), fs AS (SELECT ck, fam, list_sort(list(floor)) AS ff FROM e WHERE fam <> '' GROUP BY 1, 2),
+s AS (SELECT p.*, cf, mf, bf, ff, {_rank("mf", 0.25)} AS m_low, {_rank("bf", 0.25)} AS b_low, CASE WHEN fam = 'dark' THEN {_rank("ff", 0.45)} ELSE {_rank("ff", 0.35)} END AS f_low FROM (SELECT * FROM x WHERE listed = 1) p LEFT JOIN cs USING (ck) LEFT JOIN ms USING (ck, mk) LEFT JOIN bs USING (ck, bk) LEFT JOIN fs USING (ck, fam)),
+rarer AS (SELECT s.id AS pair, e.id FROM s JOIN e ON s.ck = e.ck AND s.br > 0 AND e.br >= s.br QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY e.br, e.id) <= 12),
+direct AS (SELECT s.id AS pair, e.id, 0 AS src FROM s JOIN e ON s.ck = e.ck AND s.bk = e.bk UNION ALL SELECT pair, id, 1 FROM rarer),
+pool AS (SELECT * FROM direct UNION ALL SELECT s.id, e.id, 2 FROM s JOIN e ON s.ck = e.ck WHERE s.id NOT IN (SELECT pair FROM direct)),
+top AS (SELECT s.id AS pair, s.mk = e.mk AS mine, e.floor AS ef, s.m_low, ms.mf AS emf, s.mr, e.mr AS emr, s.prem, e.prem AS eprem FROM pool JOIN s ON s.id = pool.pair JOIN e ON e.id = pool.id JOIN ms ON ms.ck = e.ck AND ms.mk = e.mk WHERE s.mr = 0 OR e.mr > 0
+ QUALIFY row_number() OVER (PARTITION BY pool.pair ORDER BY CASE WHEN s.mr > 0 THEN abs(e.mr - s.mr) ELSE 0 END, abs(e.prem - s.prem), e.floor, src, e.id) <= CASE WHEN src = 2 THEN 14 ELSE 8 END),
+adjusted AS (SELECT pair, mine, ef * CASE WHEN NOT mine AND m_low > 0 THEN least(1.9, greatest(0.55, m_low / {_rank("emf", 0.25)})) ELSE 1 END * CASE WHEN NOT mine AND mr > 0 AND emr > 0 THEN least(1.25, greatest(0.85, sqrt(emr / mr))) ELSE 1 END * CASE WHEN prem > eprem THEN least(1.22, greatest(1, sqrt(prem / eprem))) ELSE 1 END AS a FROM top),
+comps AS (SELECT pair, list_sort(list(a)) AS af, count(*) AS samples, count(*) FILTER (mine) AS same_model FROM adjusted GROUP BY 1),
+v AS (SELECT s.*, coalesce(samples, 0) AS samples, coalesce(same_model, 0) AS same_model, {_rank("af", 0.35)} AS comparable, coalesce(len(mf), 0) AS mn, coalesce(len(bf), 0) AS bn, coalesce(len(ff), 0) AS fn, {_rank("cf", 0)} AS low, {_rank("cf", 0.5)} AS mid, {_rank("cf", 0.9)} AS high FROM s LEFT JOIN comps ON comps.pair = s.id),
+w AS (SELECT *, CASE WHEN comparable > 0 THEN comparable WHEN m_low > 0 AND b_low > 0 THEN sqrt(m_low * b_low) WHEN m_low > 0 AND f_low > 0 THEN sqrt(m_low * f_low) WHEN m_low > 0 THEN m_low WHEN b_low > 0 THEN b_low ELSE f_low END
+ * CASE WHEN mn > 0 AND bn > 0 AND (mr > 0 OR br > 0) THEN least(1.35, CASE WHEN mr > 0 THEN least(1.18, greatest(1, sqrt(5 / greatest(mr, 0.25)))) ELSE 1 END * CASE WHEN br > 0 THEN least(1.28, greatest(1, sqrt(4 / greatest(br, 0.2)))) ELSE 1 END) ELSE 1 END
+ * CASE WHEN bn > 0 OR fn > 0 THEN 1 ELSE least(1.08, greatest(0.9, prem)) END AS value FROM v)
+SELECT collection, model, backdrop, CASE WHEN cf IS NOT NULL THEN round(least(high * CASE WHEN fam = 'dark' THEN 1.8 ELSE 1.35 END, greatest(low, value)), 4) END AS estimate,
+CASE WHEN cf IS NULL THEN NULL WHEN mn >= 5 AND bn >= 5 THEN 'medium' WHEN mn >= 3 AND (bn >= 2 OR fn >= 8) THEN 'low' ELSE 'very-low' END AS confidence,
+CASE WHEN cf IS NULL THEN NULL WHEN samples = 0 THEN 'model-backdrop-comps' WHEN same_model > 0 THEN 'same-model-backdrop-bridge' WHEN bn > 0 THEN 'different-model-same-backdrop' WHEN id IN (SELECT pair FROM rarer) THEN 'different-model-lower-rarity-backdrop' ELSE 'broad-collection-rarity-backdrop' END AS basis,
+samples::INT AS samples, mn::BIGINT AS model_samples, bn::BIGINT AS backdrop_samples, round(low, 4) AS collection_low, round(mid, 4) AS collection_median, round(high, 4) AS collection_high FROM w""")
 def estimate_floor(spark, d):
-    """Estimates for the combinations that have one listing, from those that have more. Tested against a plain model."""
+    """Estimates for the combinations that have one listing, from those that have more."""
     floors = R.combo_floor(src.listings(spark, d))
     model, back = _rarities(spark, d)
     rated = floors.join(model, ["collection", "model"]).join(back, ["collection", "backdrop"])
+    rated = rated.withColumn("s", F.substr("backdrop", F.lit(2)).cast("int")).withColumn("backdrop", F.expr(_NAMED)).drop("s")
     pairs = rated.where("listed = 1").select(F.concat_ws(":", *COMBO).alias("pair_id"), *COMBO, "model_rarity", "backdrop_rarity")
     out = V.estimate(pairs, rated.where("listed > 1"))
     return out.select(*COMBO, r4(F.col("estimate"), "estimate"), "confidence", "basis", "samples", "model_samples", "backdrop_samples", r4(F.col("collection_low"), "collection_low"), r4(F.col("collection_median"), "collection_median"), r4(F.col("collection_high"), "collection_high"))
