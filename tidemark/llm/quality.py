@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.runtime import ship
 
-#: Bounds of what the driver fits on: texts of each label, bytes of a text, bytes of each dictionary; and a window's bytes.
-FIT_TEXTS, FIT_TEXT_BYTES, DICTIONARY_BYTES, WINDOW = 3000, 1 << 16, 1 << 19, 1024
+#: Bounds of what the driver fits on: texts of each label and bytes of a text (so 144 MB in all), bytes of each dictionary; and a window's bytes.
+FIT_TEXTS, FIT_TEXT_BYTES, DICTIONARY_BYTES, WINDOW = 3000, 24_000, 1 << 19, 1024
 #: Bytes that a frame takes for itself, left out of the rates.
 FRAME_BYTES = 9
 
@@ -41,7 +41,8 @@ class CompressionModel:
     def scores(self, measures: np.ndarray) -> np.ndarray:
         """Calibrated scores of rows of size_measures; a half for texts of no bytes."""
         z = (terms(measures) - self.mean) / self.spread
-        p = 1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -700, 700)))
+        # Summed row by row: a matrix product may round a row by its place, and copies are to score alike.
+        p = 1 / (1 + np.exp(-np.clip((z * self.weights[:-1]).sum(axis=1) + self.weights[-1], -700, 700)))
         return np.where(measures[:, 3] == 0, 0.5, p)
 
 
@@ -115,7 +116,8 @@ def held_out(doc_id: Column, remainder: int = 2, folds: int = 4) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = FIT_TEXTS) -> list[tuple[str | None, int]]:
     """Texts and labels of at most ``most`` rows of each label outside the held-out fold, those whose ids hash lowest.
 
-    Only their ids and labels reach the sort; texts over 64 KB aren't used for fitting, and ids that repeat give 4 * ``most`` rows at most.
+    Only their ids and labels reach the sort; texts over FIT_TEXT_BYTES aren't used for fitting, and of several texts of one id
+    the least is, so the fit is the same each time.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     picked = None
@@ -123,8 +125,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
         part = usable.where(F.col(label_col) == y).select(F.col(id_col).alias("__id"), F.lit(y).alias("__y")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.octet_length("t") <= FIT_TEXT_BYTES)
-    rows = texts.join(F.broadcast(picked), F.col("i") == F.col("__id")).select("i", "t", F.col("__y").alias("y")).limit(4 * most).collect()
-    return [(r.t, r.y) for r in sorted(rows, key=lambda r: (r.i, r.t))]
+    rows = texts.join(F.broadcast(picked), F.col("i") == F.col("__id")).groupBy("i", F.col("__y").alias("y")).agg(F.min("t").alias("t")).collect()
+    return [(r.t, r.y) for r in sorted(rows, key=lambda r: (r.i, r.y))]
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
