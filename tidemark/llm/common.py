@@ -33,13 +33,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, which takes less room than a checkpoint where rows are many and short."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def identity(columns: list[str]) -> Column:
     """MD5 in hex over the columns' MD5s, in the order of their names; a null differs from any value."""
     parts = [F.md5(F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")).cast("binary")) for c in sorted(columns)]

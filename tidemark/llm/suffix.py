@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, row_key, written
+from tidemark.llm.common import cut, row_key
 from tidemark.runtime import ship
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
@@ -383,10 +384,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.drop("spans")
     whole = docs.withColumns({"__k1": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "__k2": row_key(F.col(id_col), F.col(text_col))})
     keys = ["__k1", "__k2"]
-    # Written once: the counts and the rows kept both read it, and finding anchors is the dearest step.
-    found = written(whole.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col(text_col).alias("text")).mapInArrow(_find_anchors(length, kgram), "k1 long, k2 long, h long, ps array<long>"), "anchors")
+    # Kept until both the counts and the rows kept are checkpointed, as finding anchors is the dearest step; lost blocks are found anew.
+    found = whole.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col(text_col).alias("text")).mapInArrow(_find_anchors(length, kgram), "k1 long, k2 long, h long, ps array<long>")
+    found = found.persist(StorageLevel.DISK_ONLY)
     often = cut(found.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.size("ps")).alias("places")).where("places > 1").drop("places"))
     wanted = cut(found.join(often, "h").select("k1", "k2", "ps", "h", "n"))
+    found.unpersist()
 
     def placed(rows: DataFrame) -> DataFrame:
         # All columns go along: so both uses, and the last join, share one exchange of the texts.
