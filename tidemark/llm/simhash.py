@@ -155,7 +155,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = own.groupBy("fp").agg(F.min("id").alias("low"))
     least = cut(least)
     roots = connected_components(near_links(least.select("fp"), bits, blocks))
-    classed = least.join(roots, least.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = classed.groupBy("root").agg(F.min("low").alias("component_id"))
-    members = classed.join(lowest, "root").select("fp", "root", "component_id")
+    classed = cut(least.join(roots, least.fp == roots.node, "left").select("fp", "low", "root"))
+    linked = classed.where(F.col("root").isNotNull())
+    # Cut off, so the join back is not done where the minima were gathered, and a giant class may be split over tasks.
+    lowest = cut(linked.groupBy("root").agg(F.min("low").alias("component_id")))
+    alone = classed.where(F.col("root").isNull()).select("fp", F.col("fp").alias("root"), F.col("low").alias("component_id"))
+    members = alone.unionByName(linked.join(lowest, "root").select("fp", "root", "component_id"))
     return own.join(members, "fp").select("id", "fp", "root", "component_id", *([] if row_key is None else ["key"]))
