@@ -48,3 +48,22 @@ def test_every_query_runs_on_empty_tables(spark, tmp_path):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     for name in ("combo_floor", "snapshot_fold", "nearest_price", "balance_at_date", "quality_gate", "valuation_cascade", "estimate_floor", "tier_match", "sales_top5", "series_change"):
         assert catalogue.queries()[name](spark, str(tmp_path)).count() == 0
+
+
+ODD_EVENTS = """SELECT * REPLACE (CASE WHEN event_id % 7 = 0 THEN 0.0 WHEN event_id % 11 = 0 AND event_type = 'view' THEN NULL ELSE value END AS value, CASE WHEN event_id % 13 = 0 THEN NULL ELSE user_id END AS user_id)
+FROM events"""
+
+
+def on_odd_events(spark, duck, path, name, change=ODD_EVENTS):
+    """Rows of the query and of its SQL over changed events."""
+    duck.execute(f"COPY ({change}) TO '{path}/events.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet'")
+    df = catalogue.queries()[name](spark, str(path))
+    cur = con.execute(catalogue.oracle_sql()[name])
+    return rows(df.columns, df.collect()), rows([c[0] for c in cur.description], cur.fetchall())
+
+
+def test_nearest_price_of_zero_is_a_price(spark, duck, tmp_path):
+    got, want = on_odd_events(spark, duck, tmp_path, "nearest_price")
+    assert got == want and any(r[1] == 0 for r in want)

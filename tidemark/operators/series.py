@@ -93,18 +93,19 @@ def _between(probes: DataFrame, quotes: DataFrame, key: str, slice_hours: float)
     return both.where("kind = 1").select("p", "t", F.coalesce("a", "a0").alias("a"), F.coalesce("b", "b0").alias("b"))
 
 
-def nearest_price(probes: DataFrame, quotes: DataFrame, key: str = "wallet", max_stale_hours: float | None = None, fallback: Column | None = None, slice_hours: float = 24) -> DataFrame:
+def nearest_price(probes: DataFrame, quotes: DataFrame, key: str = "wallet", max_stale_hours: float | None = None, fallback: Column | None = None, slice_hours: float = 24, zero_is_price: bool = False) -> DataFrame:
     """``probes`` (key, at, ...) with the quote nearest in time, before or after; of equal gaps, the earlier.
 
-    A price of zero, or beyond the limit, falls through to ``fallback``.
+    A price of zero, unless ``zero_is_price``, or beyond the limit, falls through to ``fallback``. Quotes without a price are none.
     """
-    both = _between(probes, quotes, key, slice_hours)
+    both = _between(probes, quotes.where(F.col("price").isNotNull()), key, slice_hours)
     gap_a, gap_b = F.col("t") - F.col("a.t"), F.col("b.t") - F.col("t")
     found = both.withColumn("hit", F.when(F.col("b").isNull() | (gap_a <= gap_b), F.col("a")).otherwise(F.col("b")))
     price = F.col("hit.price")
     if max_stale_hours is not None:
         price = F.when(F.abs(F.col("hit.t") - F.col("t")) <= int(max_stale_hours * HOUR), price)
-    price = F.when(price != 0, price)
+    if not zero_is_price:
+        price = F.when(price != 0, price)
     return found.select("p.*", F.coalesce(price, fallback if fallback is not None else F.lit(None)).cast("double").alias("price"))
 
 
