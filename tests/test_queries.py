@@ -72,3 +72,10 @@ def test_nearest_price_of_zero_is_a_price(spark, duck, tmp_path):
 def test_fresh_price_of_zero_is_a_price(spark, duck, tmp_path):
     got, want = on_odd_events(spark, duck, tmp_path, "nearest_price_fresh", ODD_EVENTS.replace("THEN NULL ELSE value", "THEN 0.0 ELSE value"))
     assert got == want and any(r[1] == 0 for r in want)
+
+
+def test_gain_over_a_first_value_of_zero(spark, duck, tmp_path):
+    change = """SELECT * REPLACE (CASE WHEN user_id % 10 = 1 OR nth = 1 AND user_id % 10 = 2 THEN 0.0 WHEN user_id % 10 = 3 THEN -value WHEN nth % 3 = 1 AND user_id % 10 = 4 OR user_id % 10 = 5 THEN NULL ELSE value END AS value)
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM events)"""
+    got, want = on_odd_events(spark, duck, tmp_path, "range_pnl", change)
+    assert got == want and any(math.isinf(x) for r in want for x in r if x is not None)

@@ -161,11 +161,17 @@ def changes(points: DataFrame, keys: list[str], at: str = "at", value: str = "va
     return known.withColumn("change_pct", change).drop("__near", "__far")
 
 
-def range_result(points: DataFrame, keys: list[str], at: str = "at", value: str = "value") -> DataFrame:
-    """First, last, gain and gain in percent of each series."""
-    g = points.groupBy(*keys).agg(F.min_by(value, at).alias("first_value"), F.max_by(value, at).alias("last_value"))
-    gain = F.col("last_value") - F.col("first_value")
-    return g.withColumns({"gain": gain, "gain_pct": F.when(F.col("first_value") > 0, gain / F.col("first_value") * 100).otherwise(0.0)})
+def range_result(points: DataFrame, keys: list[str], at: str = "at", value: str = "value", over_zero: bool = True) -> DataFrame:
+    """First, last, gain and gain in percent of each series; points without a value are none.
+
+    ``over_zero`` gives no percent, 0, over a first value of 0 or less; without it the gain is divided as floating numbers
+    are, so over 0 it is infinite, or NaN for no gain.
+    """
+    known = F.when(F.col(value).isNotNull(), F.col(at))
+    g = points.groupBy(*keys).agg(F.min_by(value, known).alias("first_value"), F.max_by(value, known).alias("last_value"))
+    first, gain = F.col("first_value"), F.col("last_value") - F.col("first_value")
+    pct = F.when(first == 0, gain * float("inf")).otherwise(F.try_divide(gain, first) * 100)
+    return g.withColumns({"gain": gain, "gain_pct": F.when(first > 0, pct).otherwise(0.0) if over_zero else pct})
 
 
 def extremes(points: DataFrame, keys: list[str], at: str = "at", value: str = "value") -> DataFrame:
