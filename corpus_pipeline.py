@@ -19,7 +19,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of texts linked by a similarity of 0.8 in shingles of five words, one row: that with the least id (nulls last), then the least digest of id and text."""
+    """Of each class of texts linked by a similarity of 0.8 in shingles of five words, found by SimHash prints and, where
+    these are too far apart, MinHash bands, one row: that with the least id (nulls last), then the least digest of id and text."""
     key = F.unhex(identity(["doc_id", "text"]))
     classes = minhash.near_copies(docs, key)
     kept = classes.groupBy("root", "twin").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("k")).select(F.col("k.key").alias("__key"))

@@ -67,6 +67,21 @@ def test_classes_do_not_depend_on_slices(spark):
     assert sorted(sorted(c) for c in got.values()) == classes(rows)
 
 
+def test_prints_find_close_copies_without_bands(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(0, 60, 2):
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+        rows.append((i, " ".join(ws)))
+        rows.append((i + 1, " ".join([*ws[:1000], "other", *ws[1001:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    # One band of 4,000 rows, which sets that differ practically never share.
+    for r in minhash.near_copies(docs, F.xxhash64("doc_id", "text"), bands=1, rows=4000).collect():
+        got.setdefault((r.root, r.twin), []).append(r.id)
+    assert sorted(sorted(c) for c in got.values()) == classes(rows) == [[i, i + 1] for i in range(0, 60, 2)]
+
+
 def test_similarity_is_held_exactly():
     a = np.arange(9, dtype=np.uint64)
     assert minhash.spanning_links([a[:8], a[1:9]], 0.8) == []  # 7 of 9

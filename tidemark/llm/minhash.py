@@ -1,4 +1,4 @@
-"""Near copies by shingle similarity: MinHash bands for candidates, exact Jaccard similarity for links, components."""
+"""Near copies by shingle similarity: SimHash prints, and MinHash bands for what they miss, for candidates; exact Jaccard similarity for links; components."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 from tidemark.llm.components import connected_components
+from tidemark.llm.simhash import majority, near_links
 from tidemark.runtime import ship
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -49,16 +50,17 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int, seed: int = 42) -> np
 
 
 def sketch(text: Column, words: int, bands: int, rows: int) -> Column:
-    """Column of (sid, twin, keys): two hashes of the shingle set, equal for equal sets, and its band keys."""
+    """Column of (sid, twin, fp, keys): two hashes of the shingle set, equal for equal sets, its SimHash print and its band keys."""
 
-    @F.arrow_udf("struct<sid:long,twin:long,keys:array<long>>")
+    @F.arrow_udf("struct<sid:long,twin:long,fp:long,keys:array<long>>")
     def sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             sets = [shingle_set(t.as_py(), words) for t in texts]
             sid, twin = (pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)) for seed in (0, 1))
+            fp = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
             keys = np.array([band_keys(s, bands, rows) for s in sets], np.uint64).reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, bands, dtype=np.int32), pa.array(keys))
-            yield pa.StructArray.from_arrays([sid, twin, lists], ["sid", "twin", "keys"])
+            yield pa.StructArray.from_arrays([sid, twin, fp, lists], ["sid", "twin", "fp", "keys"])
 
     return sketches(text)
 
@@ -113,22 +115,30 @@ def _group_links(words: int, similarity: float):
     return run
 
 
-def near_copies(docs: DataFrame, row_key: Column, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 7, slice_rows: int = 1000, slice_chars: int = 4_000_000) -> DataFrame:
+def near_copies(docs: DataFrame, row_key: Column, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 7, slice_rows: int = 1000, slice_chars: int = 4_000_000, bits: int = 4) -> DataFrame:
     """One row (id, key, root, twin) per row of ``docs``; root and twin name its class, the rows connected by similarities of at least ``similarity``.
 
     twin is a second hash of the shingles where a row has no links to other sets, else 0: so only 128 bits in common make
     unlinked rows one class. ``row_key`` should be as long.
 
-    Sets that share a band key are candidates, which a pair just at 0.8 fails to do with a chance of 8e-5. Each group of
+    Sets whose SimHash prints differ in at most ``bits`` bits are candidates. Most pairs near 0.8 are further apart, so sets
+    that share a band key are too, which a pair just at 0.8 fails to do with a chance of 8e-5. Each group of
     connected candidates is compared exactly; groups of over ``slice_rows`` sets or ``slice_chars`` characters are dealt in
     pairs of slices, so none is too large for a task. Null and empty texts and texts of white space are copies of each other.
     """
     ship(docs.sparkSession)
     body = F.col(text_col)
     own = cut(docs.select(F.col(id_col).alias("id"), row_key.alias("key"), F.coalesce(F.length(body), F.lit(0)).alias("chars"), sketch(body, words, bands, rows).alias("s")).select("id", "key", "chars", "s.*"))
-    keyed = own.select("sid", "keys").dropDuplicates(["sid"]).select("sid", F.explode("keys").alias("k"))
+    prints = cut(own.groupBy("fp").agg(F.min("sid").alias("m")))
+    close = near_links(prints.select("fp"), bits)
+    for end in ("u", "v"):  # prints to a set of each
+        close = close.join(prints.select(F.col("fp").alias(end), F.col("m").alias(f"set_{end}")), end)
+    # A print is a key as well: equal ones are no link between prints.
+    every = F.explode(F.concat("keys", F.array(F.xxhash64(F.lit("print"), "fp"))))
+    keyed = own.select("sid", "fp", "keys").dropDuplicates(["sid"]).select("sid", every.alias("k"))
     low = keyed.groupBy("k").agg(F.min("sid").alias("m"), F.count("*").alias("n")).where("n > 1").select("k", "m")
-    groups = connected_components(keyed.join(low, "k").where("sid <> m").select(F.col("m").alias("u"), F.col("sid").alias("v")))
+    banded = keyed.join(low, "k").where("sid <> m").select(F.col("m").alias("u"), F.col("sid").alias("v"))
+    groups = connected_components(banded.unionByName(close.select(F.col("set_u").alias("u"), F.col("set_v").alias("v"))))
     # A text for each set: of the rows that have it, that of the least key.
     one = cut(own.groupBy("sid").agg(F.min(F.struct("key", "chars")).alias("o")).join(groups, F.col("sid") == F.col("node")).select("sid", "root", "o.*"))
     # Cut off, so the join back is not done where the sizes were summed, and a giant group may be split over tasks.

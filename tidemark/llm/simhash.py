@@ -21,6 +21,15 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The print of 64-bit hashes: each bit that is set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65536):
+        part = hashes[i : i + 65536]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     """Unsigned 64-bit fingerprint; 0 where there are no words."""
     if not text:
@@ -37,12 +46,7 @@ def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), "<u8", len(starts))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 65536):
-        part = hashes[i : i + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    return majority(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), "<u8", len(starts)))
 
 
 def fingerprint(text: Column, shingle: int = 4, seed: int = 42) -> Column:
