@@ -121,20 +121,23 @@ def balances(probes: DataFrame, moves: DataFrame, current: DataFrame | None = No
 
     ``current`` has wallet and balance, by default the sum of all movements, at least 0. A wallet that holds nothing now
     but had movements in is summed forwards instead. A running sum per wallet and slice of time goes on from the sums of
-    the slices before; no range join.
+    the slices before; no range join. The sum of no later movements is 0 to the last bit, whatever the order of the sums.
+    Movements of no wallet are nobody's; those without a time count in the total, but are neither earlier nor later.
     """
-    totals = moves.groupBy("wallet").agg(F.sum("amount").alias("total"), F.count_if(F.col("amount") > 0).alias("ins"))
+    moves = moves.where(F.col("wallet").isNotNull())
+    dated = F.when(F.col("at").isNotNull(), F.col("amount"))
+    totals = moves.groupBy("wallet").agg(F.sum("amount").alias("total"), F.count_if(F.col("amount") > 0).alias("ins"), F.sum(dated).alias("dated"), F.count(dated).alias("n"))
     held = current.select("wallet", "balance") if current is not None else totals.select("wallet", F.greatest("total", F.lit(0.0)).alias("balance"))
-    p = probes.select(F.struct("*").alias("p"), "wallet", "at", F.lit(1).alias("kind"), F.lit(0.0).alias("amount"))
-    m = moves.select(F.lit(None).cast(p.schema["p"].dataType).alias("p"), "wallet", "at", F.lit(0).alias("kind"), "amount")
+    p = probes.select(F.struct("*").alias("p"), "wallet", "at", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("amount"))
+    m = moves.where(F.col("at").isNotNull()).select(F.lit(None).cast(p.schema["p"].dataType).alias("p"), "wallet", "at", F.lit(0).alias("kind"), "amount")
     w = Window.partitionBy("__g").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    own = p.unionByName(m).withColumn("__g", slice_of(["wallet"], "at", slice_hours)).withColumn("part", F.sum("amount").over(w))
-    both = carried(own, ["wallet"], {"whole": F.sum("amount")}, {"before": ("whole", "sum")}).where("kind = 1")
-    run = both.withColumn("run", F.coalesce("before", F.lit(0.0)) + F.coalesce("part", F.lit(0.0)))
+    own = p.unionByName(m).withColumn("__g", slice_of(["wallet"], "at", slice_hours)).withColumns({"part": F.sum("amount").over(w), "part_n": F.count("amount").over(w)})
+    both = carried(own, ["wallet"], {"whole": F.sum("amount"), "whole_n": F.count("amount")}, {"before": ("whole", "sum"), "before_n": ("whole_n", "sum")}).where("kind = 1")
+    run = both.withColumn("run", F.coalesce("before", F.lit(0.0)) + F.coalesce("part", F.lit(0.0))).withColumn("run_n", F.coalesce("before_n", F.lit(0)) + F.col("part_n"))
     j = run.join(totals, "wallet", "left").join(held, "wallet", "left")
     now = F.coalesce("balance", F.lit(0.0))
-    back = now - (F.coalesce("total", F.lit(0.0)) - F.col("run"))
-    value = F.when((now == 0) & (F.coalesce("ins", F.lit(0)) > 0), F.col("run")).otherwise(back)
+    later = F.when(F.col("run_n") < F.col("n"), F.coalesce("dated", F.lit(0.0)) - F.col("run")).otherwise(0.0)
+    value = F.when((now == 0) & (F.coalesce("ins", F.lit(0)) > 0), F.col("run")).otherwise(now - later)
     return j.select("p.*", F.greatest(value, F.lit(0.0)).alias("balance"))
 
 
